@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, column_bytes, id_and_text, materialize, release_shuffles, sliced, word_spans
+from .common import SPACE, column_bytes, id_and_text, materialize, mix, release_shuffles, sliced, word_spans
 from .components import connected_components
 
 RADIUS = 3
@@ -34,14 +34,14 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def fingerprints_of(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """Batches (doc_id, text) to (doc_id, fp): bit majorities of the XXH64 of all shingles of ``words`` words."""
+def fingerprints_of(batches: Iterable[pa.RecordBatch], words: int, lanes: int = 1) -> Iterator[pa.RecordBatch]:
+    """Batches (key, text) to (key, f0, f1, ...): bit majorities of the XXH64 of all shingles of ``words`` words; further lanes mix those hashes anew."""
     xxh = xxhash.xxh64_intdigest
     for batch in sliced(batches, "text"):
         raw, off = column_bytes(batch.column(1))
         start, end, first = word_spans(raw, off)
         n = len(batch)
-        total = np.zeros((n, 64), np.int64)
+        total = np.zeros((n, 64 * lanes), np.int64)
         count = np.zeros(n, np.int64)
         if len(start):
             # one space after each word, nothing else between words
@@ -65,15 +65,17 @@ def fingerprints_of(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[p
             for d in where.tolist():
                 for lo in range(edges[d], edges[d] + size[d], 1 << 16):
                     hi = min(lo + (1 << 16), edges[d] + size[d])
-                    total[d] += np.unpackbits(hashes[lo:hi].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
-        bits = np.packbits(2 * total > count[:, None], axis=1).view(">u8").ravel()
-        yield pa.record_batch([batch.column(0), pa.array(bits.astype(np.uint64).view(np.int64))], names=["doc_id", "fp"])
+                    for k in range(lanes):
+                        part = hashes[lo:hi] if not k else mix(hashes[lo:hi] + np.uint64(k))
+                        total[d, 64 * k : 64 * k + 64] += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+        bits = np.packbits(2 * total > count[:, None], axis=1).view(">u8").astype(np.uint64).view(np.int64).reshape(n, lanes)
+        yield pa.record_batch([batch.column(0), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(lanes))], names=["key", *(f"f{k}" for k in range(lanes))])
 
 
 def fingerprint(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp long) of every row."""
     rows = id_and_text(docs)
-    return rows.mapInArrow(lambda it: fingerprints_of(it, words), "doc_id long, fp long")
+    return rows.mapInArrow(lambda it: fingerprints_of(it, words), "key long, f0 long").toDF("doc_id", "fp")
 
 
 def _one(bit):
@@ -129,5 +131,50 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+#: Lanes of 64 bits for near copies, each cut in two blocks; bits of all lanes in which near copies may differ. For sets whose Jaccard similarity is 0.8
+#: shingles' cosine is 0.89, and 256 bits differ in 256 * acos(0.89) / pi = 39 on average.
+LANES, FAR_BITS = 4, 40
+
+
+def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
+    """(key, component): classes of near copies, similarity about 0.8 or more of their sets of 5-word shingles.
+
+    ``key`` is the hash of (doc_id, text). Near copies of that kind differ in more than 3 of 64 bits, so the ball hashing runs on eight blocks of 32 bits
+    of a 256-bit fingerprint: every block emits its variants within one flip, so pairs with a block at distance 2 or less meet. Whoever
+    meets is compared with two hubs of the variant (its smallest and largest fingerprint), not with everyone; a link counts if all 256 bits
+    verify it. ``component`` is the smallest linked fingerprint's number.
+    """
+    spark = docs.sparkSession
+    lanes = [f"f{k}" for k in range(LANES)]
+    rows = id_and_text(docs).withColumn("key", F.xxhash64("doc_id", "text"))
+    prints = rows.select("key", "text").mapInArrow(lambda it: fingerprints_of(it, words, LANES), "key long, " + ", ".join(f"{f} long" for f in lanes))
+    prints = materialize(prints.withColumn("id", F.xxhash64(*lanes)), "fingerprints")
+    distinct = prints.groupBy("id").agg(*[F.first(f).alias(f) for f in lanes])
+    blocks = [b for k, f in enumerate(lanes) for b in (F.col(f).bitwiseAND(F.lit((1 << 32) - 1)) + F.lit(2 * k << 32), F.shiftrightunsigned(f, 32) + F.lit(2 * k + 1 << 32))]
+    flips = F.lit([0, *(1 << i for i in range(32))])
+    ball = distinct.select("id", F.explode(F.array(*blocks)).alias("block")).select("id", "block", F.explode(flips).alias("flip"))
+    ball = ball.select("id", F.col("block").bitwiseXOR(F.col("flip")).alias("variant"))
+    own = Window.partitionBy("variant")
+    met = ball.select("id", F.min("id").over(own).alias("low"), F.max("id").over(own).alias("high")).filter("low <> high")
+    pairs = met.select(F.col("id").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b").distinct()
+    side = lambda x: distinct.select(F.col("id").alias(x), *[F.col(f).alias(f"{x}_{f}") for f in lanes])
+    apart = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in lanes), F.lit(0))
+    links = materialize(pairs.join(side("a"), "a").join(side("b"), "b").filter(apart <= FAR_BITS).select("a", "b"), "links")
+    release_shuffles(spark)
+    labels = connected_components(links)
+    return prints.join(labels, prints.id == labels.node, "left").select("key", F.coalesce("label", "id").alias("component"))
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
+    """``docs`` with one row of each class of near copies: the one with the smallest doc_id (null only if all are), of repeated rows one."""
+    classes = near_copies(docs, words)
+    keyed = docs.withColumn("__near_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    ids = keyed.select(F.col("__near_key").alias("key"), F.col("doc_id").cast("long").alias("doc_id"))
+    known = classes.join(ids.distinct(), "key")
+    # the smallest (has no id, id, key) of each class; minima are combined before the shuffle
+    first = known.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m")).select(F.col("m.key").alias("__near_key"))
+    return keyed.join(first, "__near_key", "left_semi").dropDuplicates(["__near_key"]).drop("__near_key")
+
+
 def hex_fingerprint(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -239,3 +239,38 @@ def deduplicate_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         _pieces(window),
         "doc_id long, text string, n_words long, n_removed long, kept_sha256 string, factors array<struct<start:int,length:int,ref_key:long,ref_start:int>>",
     )
+
+
+def without_duplicates(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs``, all its columns, with text as :func:`deduplicate_substrings` leaves it; null text stays null."""
+    keyed = docs.withColumn("__rlz_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    rows = id_and_text(docs).withColumn("key", F.xxhash64("doc_id", "text"))
+    marks = materialize(find_marks(rows.select("key", "text"), window), "marks")
+    release_shuffles(docs.sparkSession)
+    own = marks.groupBy(F.col("key").alias("__rlz_key")).agg(F.collect_set(F.struct("start", "mask", "ref_key", "ref_start")).alias("__rlz_marks"))
+    joined = keyed.join(own.hint("shuffle_hash"), "__rlz_key", "left").drop("__rlz_key")
+    names = docs.columns
+    at = names.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text"):
+            marks, texts = batch.column(batch.num_columns - 1), batch.column(at)
+            new = [t if not m.is_valid else _cut(t, m, window) for t, m in zip(texts.to_pylist(), marks, strict=True)]
+            cols = [batch.column(i) if i != at else pa.array(new, pa.string()) for i in range(batch.num_columns - 1)]
+            yield pa.record_batch(cols, names=names)
+
+    return joined.mapInArrow(run, docs.schema)
+
+
+def _cut(text: str, marks: pa.Scalar, window: int) -> str:
+    """What is left of a text: the kept stretches parted by a line end."""
+    v = marks.values
+    data = np.frombuffer(raw := text.encode(), np.uint8)
+    a, z, _ = word_spans(data, np.array([0, len(data)]))
+    edge = np.zeros(len(a) + 1, np.int32)
+    for s, length, _, _ in factors_of(*[np.asarray(v.field(k)) for k in range(4)], window):
+        edge[s] += 1
+        edge[s + length] -= 1
+    gone = np.cumsum(edge[:-1]) > 0
+    turn = np.flatnonzero(np.diff(np.concatenate([[True], gone, [True]]).astype(np.int8)))
+    return b"\n".join(raw[a[p] : z[q - 1]] for p, q in turn.reshape(-1, 2)).decode()
