@@ -104,14 +104,22 @@ def best(q: np.ndarray, q_id: np.ndarray, floor: np.ndarray, v: np.ndarray, v_id
 def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
     """(block, ids, v, dims, top): rows packed in their partitions' order into blocks of at most ``size``."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def full(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            for a in range(0, b.num_rows, size):
-                part = b.slice(a, size)
-                col = part.column(1)
-                dim = max((len(x) for x in col), default=0)
-                m = _matrix(col, dim)
-                yield pa.record_batch([pa.array([np.asarray(part.column(0)).astype("<i8").tobytes()]), pa.array([m.astype("<i8").tobytes()]), pa.array([dim], pa.int32()), pa.array([float(np.max(np.asarray(part.column(2))))])], names=["ids", "v", "dims", "top"])
+            held.append(b)
+            while sum(x.num_rows for x in held) >= size:
+                table = pa.Table.from_batches(held).combine_chunks()
+                yield table.slice(0, size)
+                held = table.slice(size).to_batches()
+        if sum(x.num_rows for x in held):
+            yield pa.Table.from_batches(held)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in full(batches):
+            ids, col, norm = (c.combine_chunks() for c in part.columns)
+            dim = max(len(x) for x in col)
+            yield pa.record_batch([pa.array([np.asarray(ids).astype("<i8").tobytes()]), pa.array([_matrix(col, dim).astype("<i8").tobytes()]), pa.array([dim], pa.int32()), pa.array([float(np.asarray(norm).max())])], names=["ids", "v", "dims", "top"])
 
     packed = rows.select("vec_id", "v", "norm").mapInArrow(run, "ids binary, v binary, dims int, top double")
     return packed.select([F.col(c).alias(f"{name}_{c}") for c in packed.columns])
@@ -144,11 +152,11 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE) -> DataF
     out = "query_id long, vec_id long, score long"
     if not dim:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    axes = spark.sparkContext.broadcast(rotation(rows, dim))
+    axes = spark.sparkContext.broadcast(rotation(rows, dim))  # dim * dim numbers
     # the longest vectors, one block: each query's k-th best among them is a floor for all blocks
     longest = spark.sparkContext.broadcast(tuple(zip(*[(r.vec_id, r.v) for r in rows.orderBy(F.desc("norm"), "vec_id").limit(min(1024, VECTORS)).collect()], strict=True)))
-    candidates = _blocks(rows.repartitionByRange(F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id"), VECTORS, "c")
-    queries = _blocks(rows.filter(is_query), QUERIES, "q").withColumn("q_no", F.monotonically_increasing_id())
+    candidates = materialize(_blocks(rows.repartitionByRange(F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id"), VECTORS, "c"), "candidates")
+    queries = materialize(_blocks(rows.filter(is_query), QUERIES, "q"), "queries")
     # a query block goes to every candidate block: a stated query set against all rows, in blocks
     groups = max(16, rows.count() // (4 * VECTORS))
     dealt = candidates.withColumn("lane", F.pmod(F.xxhash64("c_ids"), F.lit(groups)))
@@ -178,7 +186,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE) -> DataF
                 if qs:
                     yield pa.record_batch([pa.array(np.concatenate(x)) for x in (qs, ids, scores)], names=["query_id", "vec_id", "score"])
 
-    met = dealt.join(sent, "lane").select("q_ids", "q_v", "q_dims", "c_ids", "c_v", "c_dims").mapInArrow(meet, out)
+    met = dealt.repartition(groups, "lane").join(sent.repartition(groups, "lane"), "lane").select("q_ids", "q_v", "q_dims", "c_ids", "c_v", "c_dims").mapInArrow(meet, out)
     met = _in_small_batches(met)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
