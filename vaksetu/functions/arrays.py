@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
@@ -14,15 +16,18 @@ def mean_token_entropy(steps: Column) -> Column:
     """Mean entropy (nats) of renormalised steps of log-probabilities; steps without mass are left out; 0 if none is left."""
     probs = F.transform(steps, lambda s: F.transform(s, lambda lp: F.exp(lp.cast("double"))))
     used = F.filter(probs, lambda p: total(p) > 0)
-    entropy = F.transform(used, lambda p: -total(F.transform(F.filter(p, lambda x: x > 0), lambda x: x / total(p) * F.log(x / total(p)))))
-    return F.when(F.size(used) > 0, total(entropy) / F.size(used)).otherwise(0.0)
+    entropy = lambda p: let(total(p), lambda z: -total(F.transform(F.filter(p, lambda x: x > 0), lambda x: x / z * F.log(x / z))))
+    return let(used, lambda u: F.when(F.size(u) > 0, total(F.transform(u, entropy)) / F.size(u)).otherwise(0.0))
 
 
 def log_softmax(logits: Column, temperature: float = 1.0) -> Column:
     scaled = F.transform(logits, lambda x: x.cast("double") / F.lit(float(temperature)))
-    top = F.array_max(scaled)
-    norm = top + F.log(total(F.transform(scaled, lambda x: F.exp(x - top))))
-    return F.transform(scaled, lambda x: x - norm)
+
+    def of(x: Column) -> Column:
+        norm = let(F.array_max(x), lambda top: top + F.log(total(F.transform(x, lambda v: F.exp(v - top)))))
+        return let(norm, lambda z: F.transform(x, lambda v: v - z))
+
+    return let(scaled, of)
 
 
 def kl_terms(teacher: Column, student: Column) -> Column:
@@ -38,9 +43,9 @@ def select_ids(values: Column, ids: Column) -> Column:
 
 def cross_entropy(logits: Column, label: Column, smoothing: float = 0.0) -> Column:
     """Negative log-likelihood of one position, with label smoothing over the vocabulary."""
-    logp = log_softmax(logits)
-    own = -F.get(logp, label)
-    return own * (1 - smoothing) - total(logp) / F.size(logp) * smoothing if smoothing else own
+    own = lambda logp: -F.get(logp, label)
+    smooth = lambda logp: own(logp) * (1 - smoothing) - total(logp) / F.size(logp) * smoothing
+    return let(log_softmax(logits), smooth if smoothing else own)
 
 
 def feature_floor(mel: Column, offset: float = 2.0) -> Column:
@@ -51,7 +56,7 @@ def feature_floor(mel: Column, offset: float = 2.0) -> Column:
 def pad_features(mel: Column, width: int, value: Column | None = None) -> Column:
     """Rows filled up on the right to ``width`` with the clip's floor (or ``value``); full rows stay as they are."""
     fill = feature_floor(mel) if value is None else value
-    return F.transform(mel, lambda row: F.concat(row, F.array_repeat(fill.cast("double"), F.greatest(F.lit(width) - F.size(row), F.lit(0)))))
+    return let(F.struct(mel.alias("mel"), fill.cast("double").alias("fill")), lambda p: F.transform(p.mel, lambda row: F.concat(row, F.array_repeat(p.fill, F.greatest(F.lit(width) - F.size(row), F.lit(0))))))
 
 
 def pad_tokens(ids: Column, width: int, pad: int = -100) -> Column:
@@ -78,6 +83,10 @@ def resample(wave: Column, rate_in: int, rate_out: int) -> Column:
     """Linear interpolation at round(n * out / in) points from the first to the last sample; unchanged if the rates are equal."""
     if rate_in == rate_out:
         return wave
+    return let(wave, lambda w: _resampled(w, rate_in, rate_out))
+
+
+def _resampled(wave: Column, rate_in: int, rate_out: int) -> Column:
     n = F.size(wave)
     m = F.rint(n * F.lit(float(rate_out)) / F.lit(float(rate_in))).cast("int")
     step = F.when(m > 1, (n - 1) / (m - 1)).otherwise(0.0)

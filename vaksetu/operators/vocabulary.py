@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import cross_entropy, kl_terms, log_softmax, select_ids
+from ..functions.text import let
 from .pack import positions
 
 
@@ -82,10 +83,8 @@ def topk_kl(rows: DataFrame, entries: str = "topk", student: str = "student", te
     Pruned entries are left out before the rest is renormalised; positions without any entry left do not count; entries that are not stored have no mass.
     """
     kept = F.filter(entries, lambda e: e["id"] >= 0)
-    values = F.transform(kept, lambda e: e["value"])
-    t = log_softmax(values, temperature)
-    s = log_softmax(F.col(student), temperature)
-    term = kl_terms(t, F.transform(kept, lambda e: F.get(s, e["id"].cast("int"))))
+    t = log_softmax(F.transform(kept, lambda e: e["value"]), temperature)
+    term = let(log_softmax(F.col(student), temperature), lambda s: kl_terms(t, F.transform(kept, lambda e: F.get(s, e["id"].cast("int")))))
     some = F.size(kept) > 0
     return _masked_mean(rows, F.when(some, term).otherwise(0.0), some if mask is None else some & mask, temperature)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 #: The baseline window and the candidates.
 BASELINE_S = 10.0
 CANDIDATES = (4.0, 6.0, 8.0, 10.0)
@@ -25,20 +27,23 @@ def quantile_samples(table: Column, n: int = 2000) -> Column:
 
     Below the first point it goes on with the first slope, not under zero; beyond the last it stays.
     """
+    def of(pts: Column) -> Column:
+        spans = F.zip_with(F.slice(pts, F.lit(1), F.size(pts) - 1), F.slice(pts, F.lit(2), F.size(pts)), lambda x, y: F.struct(x.p.alias("p0"), x.v.alias("v0"), y.p.alias("p1"), y.v.alias("v1")))
+        return let(F.struct(spans.alias("spans"), F.element_at(pts, -1).v.alias("last")), lambda s: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: value(s, (i + 0.5) / n)))
+
+    def value(s: Column, p: Column) -> Column:
+        hit = F.get(F.filter(s.spans, lambda x: p <= x.p1), 0)
+        inside = lambda x: F.when(x.p1 - x.p0 <= 0, x.v0).otherwise(x.v0 + (x.v1 - x.v0) * (p - x.p0) / (x.p1 - x.p0))
+        return let(hit, lambda x: F.when(x.isNull(), s.last).otherwise(inside(x)))
+
+    def with_zero(pts: Column) -> Column:
+        a, b = F.get(pts, 0), F.coalesce(F.get(pts, 1), F.get(pts, 0))
+        slope = F.when(b.p > a.p, (b.v - a.v) / (b.p - a.p)).otherwise(0.0)
+        zero = F.struct(F.lit(0.0).alias("p"), F.greatest(F.lit(0.0), a.v - slope * a.p).alias("v"))
+        return F.when(a.p > 0, F.concat(F.array(zero), pts)).otherwise(pts)
+
     pts = F.array_sort(F.transform(table, lambda q: F.struct(q.p.alias("p"), q.v.alias("v"))))
-    a, b = F.get(pts, 0), F.coalesce(F.get(pts, 1), F.get(pts, 0))
-    slope = F.when(b.p > a.p, (b.v - a.v) / (b.p - a.p)).otherwise(0.0)
-    zero = F.struct(F.lit(0.0).alias("p"), F.greatest(F.lit(0.0), a.v - slope * a.p).alias("v"))
-    pts = F.when(a.p > 0, F.concat(F.array(zero), pts)).otherwise(pts)
-    spans = F.zip_with(F.slice(pts, F.lit(1), F.size(pts) - 1), F.slice(pts, F.lit(2), F.size(pts)), lambda x, y: F.struct(x.p.alias("p0"), x.v.alias("v0"), y.p.alias("p1"), y.v.alias("v1")))
-
-    def value(i: Column) -> Column:
-        p = (i + 0.5) / n
-        s = F.get(F.filter(spans, lambda x: p <= x.p1), 0)
-        inside = F.when(s.p1 - s.p0 <= 0, s.v0).otherwise(s.v0 + (s.v1 - s.v0) * (p - s.p0) / (s.p1 - s.p0))
-        return F.when(s.isNull(), F.element_at(pts, -1).v).otherwise(inside)
-
-    return F.when(F.size(table) == 0, F.raise_error(F.lit("no quantiles given")).cast("array<double>")).otherwise(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), value))
+    return F.when(F.size(table) == 0, F.raise_error(F.lit("no quantiles given")).cast("array<double>")).otherwise(let(let(pts, with_zero), of))
 
 
 def step_weights(durations: DataFrame, hours: DataFrame, source: str = "source", duration: str = "duration_s") -> DataFrame:
