@@ -13,6 +13,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Spoken cardinals. Nuktas are decomposed, as in the corpora's texts.
 CARDINALS = {
@@ -226,7 +227,7 @@ def write_out(text: str, keep_baje: bool = True) -> str:
 
 
 def inverse_normalise(text: Column, keep_baje: bool = True) -> Column:
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: write_out(t, keep_baje), na_action="ignore")
 

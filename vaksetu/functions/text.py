@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Texts for which the JVM's own functions give NFKC and case folding exactly.
 _PLAIN = r"^[\t-\r -~¡-§©«-®°±¶·»¿-ÿऀ-ऻऽ-ॗॠ-ॿ]*$"
@@ -32,7 +33,7 @@ laptop phone charger battery wifi internet app screen camera
 """.split()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t).casefold(), na_action="ignore")
 

@@ -476,7 +476,7 @@ clips AS (SELECT user_id, unnest(outs) AS c FROM last), kept AS (SELECT user_id,
 
 
 def _clips(spark, sf):
-    start = F.unix_millis("ts")
+    start = F.timestamp_diff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
     r = table(spark, sf, "events").filter("value is not null").select("user_id", "event_id", start.alias("a"), (start + F.round(F.col("value") * 1000).cast("long")).alias("b"))
     regions = F.transform(F.array_sort(F.collect_list(F.struct("a", "event_id", "b"))), lambda x: F.struct(x.a.cast("double").alias("start_s"), x.b.cast("double").alias("end_s")))
     return intervals.clips_of(r.groupBy("user_id").agg(regions.alias("regions")), "user_id", **_BOUNDS)
@@ -677,7 +677,7 @@ def mono_mix(spark, sf):
 
 
 @query("""WITH w AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), p AS (SELECT vec_id, e, unnest(range(128)) AS i FROM w),
-x AS (SELECT vec_id, e, i, i * (63 / 127.0::DOUBLE) AS at FROM p), y AS (SELECT vec_id, e[least(CAST(floor(at) AS INTEGER), 63) + 1] AS a, e[least(CAST(floor(at) AS INTEGER) + 1, 63) + 1] AS b, at - least(CAST(floor(at) AS INTEGER), 63) AS f FROM x)
+x AS (SELECT vec_id, e, i, i * (63 / 127.0::DOUBLE) AS z FROM p), y AS (SELECT vec_id, e[least(CAST(floor(z) AS INTEGER), 63) + 1] AS a, e[least(CAST(floor(z) AS INTEGER) + 1, 63) + 1] AS b, z - least(CAST(floor(z) AS INTEGER), 63) AS f FROM x)
 SELECT vec_id, round(sum(a + (b - a) * f), 4) AS total, count(*) AS n FROM y GROUP BY vec_id""")
 def resample_wave(spark, sf):
     w = arrays.resample(F.transform("embedding", lambda x: x.cast("double")), 8_000, 16_000)

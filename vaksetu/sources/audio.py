@@ -7,6 +7,7 @@ import wave
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,13 +98,11 @@ def probe_waves(seconds: float = 5.0, per_condition: int = 20, seed: int = 0, ra
 
 def transcribe_probe(spark, transcribe, waves: dict[str, list[np.ndarray]] | None = None) -> DataFrame:
     """(condition, clip_no, text): a user's function from wave to text over the probe clips, as an Arrow function."""
-    import pandas as pd
-
     ship(spark)
     waves = waves or probe_waves()
     rows = [(c, i, [float(v) for v in x]) for c, xs in waves.items() for i, x in enumerate(xs)]
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(x: pd.Series) -> pd.Series:
         return x.map(lambda v: transcribe(np.asarray(v, np.float32)))
 
