@@ -78,19 +78,16 @@ def sweep(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int
             at = bisect_left(free, length)
             if at == len(free):  # no gap takes it: open sequences, each with as many of this length as fit
                 each = capacity // length
-                bins = -(-left // each)
-                for k in range(each):  # the k-th places of all new sequences; the last round may not reach all
-                    n = min(bins, left - sum(min(bins, left - j * bins) for j in range(k))) if k * bins < left else 0
-                    if n:
-                        plan.append((length, rank + k * bins, rank + k * bins + n, opened, k * length))
-                used = [sum(1 for k in range(each) if k * bins + i < left) for i in (0, bins - 1)]
-                if used[0] == used[1]:
-                    leave(capacity - used[0] * length, opened, bins)
-                else:
-                    n = next(i for i in range(bins) if sum(1 for k in range(each) if k * bins + i < left) == used[1])
-                    leave(capacity - used[0] * length, opened, n)
-                    leave(capacity - used[1] * length, opened + n, bins - n)
-                opened += bins
+                full, rest = divmod(left, each)
+                for k in range(each if full else 0):  # the k-th places of all full new sequences
+                    plan.append((length, rank + k * full, rank + (k + 1) * full, opened, k * length))
+                leave(capacity - each * length, opened, full)
+                rank, opened = rank + each * full, opened + full
+                for k in range(rest):  # what is left shares one more
+                    plan.append((length, rank + k, rank + k + 1, opened, k * length))
+                if rest:
+                    leave(capacity - rest * length, opened, 1)
+                    opened += 1
                 break
             room = free[at]
             first, n = gaps[room].pop()
