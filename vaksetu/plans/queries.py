@@ -456,7 +456,7 @@ def profile_mixed_segmented_cost(spark, sf):
 
 
 # ---------------------------------------------------------------- intervals
-_REGIONS = "SELECT user_id, epoch_ms(ts) AS a, epoch_ms(ts) + CAST(round(value * 1000) AS BIGINT) AS b, event_id FROM events WHERE value IS NOT NULL"
+_REGIONS = "SELECT user_id, epoch_us(ts) // 1000 AS a, epoch_us(ts) // 1000 + CAST(round(value * 1000) AS BIGINT) AS b, event_id FROM events WHERE value IS NOT NULL"
 #: In milliseconds, so that both engines add integers: at most a million, at least a hundred thousand, gaps up to an hour.
 _BOUNDS = {"max_seconds": 150_000.0, "min_seconds": 5_000.0, "max_gap_s": 3_600_000.0}
 _MERGE_SQL = f"""
@@ -476,7 +476,7 @@ clips AS (SELECT user_id, unnest(outs) AS c FROM last), kept AS (SELECT user_id,
 
 
 def _clips(spark, sf):
-    start = F.timestamp_diff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
+    start = F.floor(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz")) / 1000)
     r = table(spark, sf, "events").filter("value is not null").select("user_id", "event_id", start.alias("a"), (start + F.round(F.col("value") * 1000).cast("long")).alias("b"))
     regions = F.transform(F.array_sort(F.collect_list(F.struct("a", "event_id", "b"))), lambda x: F.struct(x.a.cast("double").alias("start_s"), x.b.cast("double").alias("end_s")))
     return intervals.clips_of(r.groupBy("user_id").agg(regions.alias("regions")), "user_id", **_BOUNDS)
