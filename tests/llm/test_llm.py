@@ -146,6 +146,38 @@ def test_simhash_odd(spark, odd, none):
     assert simhash.drop_near_copies(none).count() == 0
 
 
+def test_near_copies_by_shingle_sets(spark):
+    """Pairs of texts with some words changed: linked at a similarity of 0.8 or more, apart below (save for the doubt that the docstring states)."""
+    rng = random.Random(9)
+    sets, rows = {}, []
+    for i in range(240):
+        words = [f"w{rng.randrange(20_000)}" for _ in range(rng.randint(60, 500))]
+        other = list(words)
+        for at in rng.sample(range(len(words)), 1 + rng.randrange(max(2, len(words) // 25))):
+            other[at] = "changed"
+        for j, ws in enumerate((words, other)):
+            sets[2 * i + j] = {tuple(ws[k : k + 5]) for k in range(len(ws) - 4)}
+            rows.append((2 * i + j, " \n".join(ws).upper()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = simhash.near_copies(docs).join(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key")), "key")
+    label = {r.doc_id: r.component for r in classes.collect()}
+    assert len(label) == len(rows)
+    alike = {i: len(sets[2 * i] & sets[2 * i + 1]) / len(sets[2 * i] | sets[2 * i + 1]) for i in range(240)}
+    linked = {i: label[2 * i] == label[2 * i + 1] for i in alike}
+    near = [linked[i] for i, x in alike.items() if x >= 0.8]
+    assert len(near) > 60 and sum(near) >= 0.95 * len(near)
+    far = [linked[i] for i, x in alike.items() if x < 0.8]
+    assert len(far) > 20 and not any(far)
+    assert len(set(label.values())) == 480 - sum(linked.values())
+
+
+def test_shingle_sets():
+    batch = pa.record_batch([pa.array([1, 2, 3]), pa.array(["a b a b a b", "", "One two"])], names=["key", "text"])
+    (got,) = simhash.shingle_sets_of([batch], 3)
+    want = [sorted(xxhash.xxh64_intdigest(t, 42) for t in ts) for ts in (["a b a", "b a b"], [], ["one two"])]
+    assert [sorted(h % 2**64 for h in hs) for hs in got.column(1).to_pylist()] == want
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (7, 7), (None, 3)], "a long, b long")
     got = {r.node: r.label for r in components.connected_components(edges).collect()}

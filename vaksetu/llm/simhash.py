@@ -34,44 +34,61 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def fingerprints_of(batches: Iterable[pa.RecordBatch], words: int, lanes: int = 1) -> Iterator[pa.RecordBatch]:
-    """Batches (key, text) to (key, f0, f1, ...): bit majorities of the XXH64 of all shingles of ``words`` words; further lanes mix those hashes anew."""
+def shingles_of(batch: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(XXH64 of the shingles of all rows of (key, text), first shingle of each row and the total)."""
     xxh = xxhash.xxh64_intdigest
+    raw, off = column_bytes(batch.column(1))
+    start, end, first = word_spans(raw, off)
+    if not len(start):
+        return np.zeros(0, np.uint64), np.zeros(len(batch) + 1, np.int64)
+    # one space after each word, nothing else between words
+    keep = ~SPACE[raw]
+    stop = end[end < len(raw)]
+    stop = stop[SPACE[raw[stop]]]
+    keep[stop] = True
+    text = _LOWER[raw]
+    text[stop] = 32
+    text = text[keep].tobytes()
+    moved = np.concatenate([[0], np.cumsum(keep)])
+    a, z = moved[start], moved[end]
+    sizes = np.diff(first)
+    size = np.maximum(sizes - words + 1, np.minimum(sizes, 1))
+    edges = np.concatenate([[0], np.cumsum(size)])
+    begin = np.repeat(first[:-1] - edges[:-1], size) + np.arange(edges[-1])
+    last = np.minimum(begin + words, np.repeat(first[1:], size)) - 1
+    hashes = np.fromiter((xxh(text[s:e], SEED) for s, e in zip(a[begin].tolist(), z[last].tolist(), strict=True)), np.uint64, len(begin))
+    return hashes, edges
+
+
+def fingerprints_of(batches: Iterable[pa.RecordBatch], words: int, lanes: int = 1, repeats: bool = True) -> Iterator[pa.RecordBatch]:
+    """Batches (key, text) to (key, f0, f1, ...): bit majorities of the XXH64 of all shingles of ``words`` words, or of all different ones; further lanes mix those hashes anew."""
     for batch in sliced(batches, "text"):
-        raw, off = column_bytes(batch.column(1))
-        start, end, first = word_spans(raw, off)
+        hashes, edges = shingles_of(batch, words)
         n = len(batch)
         total = np.zeros((n, 64 * lanes), np.int64)
         count = np.zeros(n, np.int64)
-        if len(start):
-            # one space after each word, nothing else between words
-            keep = ~SPACE[raw]
-            stop = end[end < len(raw)]
-            stop = stop[SPACE[raw[stop]]]
-            keep[stop] = True
-            text = _LOWER[raw]
-            text[stop] = 32
-            text = text[keep].tobytes()
-            moved = np.concatenate([[0], np.cumsum(keep)])
-            a, z = moved[start], moved[end]
-            sizes = np.diff(first)
-            size = np.maximum(sizes - words + 1, np.minimum(sizes, 1))
-            where = np.flatnonzero(size)
-            count[where] = size[where]
-            begin = np.repeat(first[:-1] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            last = np.minimum(begin + words, np.repeat(first[1:], size)) - 1
-            hashes = np.fromiter((xxh(text[s:e], SEED) for s, e in zip(a[begin].tolist(), z[last].tolist(), strict=True)), np.uint64, len(begin))
-            edges = np.cumsum(size) - size
-            for d in where.tolist():
-                for lo in range(edges[d], edges[d] + size[d], 1 << 16):
-                    hi = min(lo + (1 << 16), edges[d] + size[d])
-                    for k in range(lanes):
-                        part = hashes[lo:hi] if not k else mix(hashes[lo:hi] + np.uint64(k))
-                        total[d, 64 * k : 64 * k + 64] += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+        for d in np.flatnonzero(np.diff(edges)).tolist():
+            own = hashes[edges[d] : edges[d + 1]]
+            own = own if repeats else np.unique(own)
+            count[d] = len(own)
+            for lo in range(0, len(own), 1 << 16):
+                chunk = own[lo : lo + (1 << 16)]
+                for k in range(lanes):
+                    part = chunk if not k else mix(chunk + np.uint64(k))
+                    total[d, 64 * k : 64 * k + 64] += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
         bits = np.packbits(2 * total > count[:, None], axis=1).view(">u8").astype(np.uint64).view(np.int64).reshape(n, lanes)
         yield pa.record_batch([batch.column(0), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(lanes))], names=["key", *(f"f{k}" for k in range(lanes))])
 
 
+def shingle_sets_of(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Batches (key, text) to (key, grams): the hashes of a text's different shingles."""
+    for batch in sliced(batches, "text"):
+        hashes, edges = shingles_of(batch, words)
+        sets = [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        grams = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in sets])]), np.concatenate(sets)).cast(pa.list_(pa.int64()))
+        yield pa.record_batch([batch.column(0), grams], names=["key", "grams"])
+
+
 def fingerprint(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp long) of every row."""
     rows = id_and_text(docs)
@@ -131,35 +148,58 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Lanes of 64 bits for near copies, each cut in two blocks; bits of all lanes in which near copies may differ. For sets whose Jaccard similarity is 0.8
-#: shingles' cosine is 0.89, and 256 bits differ in 256 * acos(0.89) / pi = 39 on average.
-LANES, FAR_BITS = 4, 40
+#: Near copies: lanes of 64 bits, each with two blocks of ``BLOCK`` bits. For sets whose Jaccard similarity is 0.8 shingles' cosine is 0.89, and a bit
+#: differs with probability acos(0.89) / pi = 0.151: 77 of 512 on average, with a standard deviation of 8; a block is at distance 2 or less with
+#: probability 0.18, at least one of 16 with 0.96.
+LANES, BLOCK = 8, 28
+#: Pairs at this many of 512 bits or fewer are near copies (for 0.8, 2.6 deviations below the mean); beyond ``FAR_BITS`` they are not (4 above); between, shingle sets decide.
+SURE_BITS, FAR_BITS = 56, 110
+SIMILARITY = 0.8
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, prints: DataFrame, words: int) -> DataFrame:
+    """Those of pairs (a, b) whose shingle sets have a Jaccard similarity of at least ``SIMILARITY``; only texts of such pairs are read into sets."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    keys = prints.join(ends, "id", "left_semi").groupBy("id").agg(F.min("key").alias("key"))
+    texts = rows.join(keys, "key").select("id", "text")
+    sets = materialize(texts.mapInArrow(lambda it: shingle_sets_of(it, words), "id long, grams array<long>"), "shingles").dropDuplicates(["id"])
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("grams").alias(f"{x}_grams"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    common = F.size(F.array_intersect("a_grams", "b_grams"))
+    return both.filter(common >= SIMILARITY * (F.size("a_grams") + F.size("b_grams") - common)).select("a", "b")
 
 
 def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(key, component): classes of near copies, similarity about 0.8 or more of their sets of 5-word shingles.
+    """(key, component): classes of near copies, a Jaccard similarity of 0.8 or more of their sets of 5-word shingles.
 
-    ``key`` is the hash of (doc_id, text). Near copies of that kind differ in more than 3 of 64 bits, so the ball hashing runs on eight blocks of 32 bits
-    of a 256-bit fingerprint: every block emits its variants within one flip, so pairs with a block at distance 2 or less meet. Whoever
-    meets is compared with two hubs of the variant (its smallest and largest fingerprint), not with everyone; a link counts if all 256 bits
-    verify it. ``component`` is the smallest linked fingerprint's number.
+    ``key`` is the hash of (doc_id, text). Near copies of that kind differ in more than 3 of 64 bits, so the ball hashing runs on sixteen blocks of 28 bits
+    of a 512-bit fingerprint: every block emits its variants within one flip, so pairs with a block at distance 2 or less meet. Whoever
+    meets is compared with two hubs of the variant (its smallest and largest fingerprint), not with everyone; up to four that meet are all compared.
+    A link counts if the 512 bits are clearly near enough, or else if the shingle sets themselves are. ``component`` is the smallest linked fingerprint's number.
     """
     spark = docs.sparkSession
     lanes = [f"f{k}" for k in range(LANES)]
-    rows = id_and_text(docs).withColumn("key", F.xxhash64("doc_id", "text"))
-    prints = rows.select("key", "text").mapInArrow(lambda it: fingerprints_of(it, words, LANES), "key long, " + ", ".join(f"{f} long" for f in lanes))
+    rows = id_and_text(docs).withColumn("key", F.xxhash64("doc_id", "text")).select("key", "text")
+    prints = rows.mapInArrow(lambda it: fingerprints_of(it, words, LANES, repeats=False), "key long, " + ", ".join(f"{f} long" for f in lanes))
     prints = materialize(prints.withColumn("id", F.xxhash64(*lanes)), "fingerprints")
     distinct = prints.groupBy("id").agg(*[F.first(f).alias(f) for f in lanes])
-    blocks = [b for k, f in enumerate(lanes) for b in (F.col(f).bitwiseAND(F.lit((1 << 32) - 1)) + F.lit(2 * k << 32), F.shiftrightunsigned(f, 32) + F.lit(2 * k + 1 << 32))]
-    flips = F.lit([0, *(1 << i for i in range(32))])
+    mask = F.lit((1 << BLOCK) - 1)
+    blocks = [F.shiftrightunsigned(f, BLOCK * h).bitwiseAND(mask) + F.lit(2 * k + h << 32) for k, f in enumerate(lanes) for h in (0, 1)]
+    flips = F.lit([0, *(1 << i for i in range(BLOCK))])
     ball = distinct.select("id", F.explode(F.array(*blocks)).alias("block")).select("id", "block", F.explode(flips).alias("flip"))
     ball = ball.select("id", F.col("block").bitwiseXOR(F.col("flip")).alias("variant"))
     own = Window.partitionBy("variant")
-    met = ball.select("id", F.min("id").over(own).alias("low"), F.max("id").over(own).alias("high")).filter("low <> high")
-    pairs = met.select(F.col("id").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b").distinct()
+    before = F.lag("id").over(own.orderBy("id"))
+    met = ball.select("id", F.min("id").over(own).alias("low"), F.max("id").over(own).alias("high"), F.count(F.lit(1)).over(own).alias("n"), before.alias("before"))
+    met = met.filter("low <> high").select("id", F.array("low", "high", F.when(F.col("n") == 4, F.col("before"))).alias("hubs"))
+    pairs = met.select("id", F.explode("hubs").alias("hub")).filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     side = lambda x: distinct.select(F.col("id").alias(x), *[F.col(f).alias(f"{x}_{f}") for f in lanes])
     apart = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in lanes), F.lit(0))
-    links = materialize(pairs.join(side("a"), "a").join(side("b"), "b").filter(apart <= FAR_BITS).select("a", "b"), "links")
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", apart.alias("apart")).filter(F.col("apart") <= FAR_BITS)
+    pairs = materialize(pairs, "pairs")
+    release_shuffles(spark)
+    sure = pairs.filter(F.col("apart") <= SURE_BITS).select("a", "b")
+    links = materialize(sure.union(_similar(pairs.filter(F.col("apart") > SURE_BITS).select("a", "b"), rows, prints, words)), "links")
     release_shuffles(spark)
     labels = connected_components(links)
     return prints.join(labels, prints.id == labels.node, "left").select("key", F.coalesce("label", "id").alias("component"))
