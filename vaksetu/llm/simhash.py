@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, column_bytes, id_and_text, materialize, mix, release_shuffles, sliced, word_spans
+from .common import CHUNK_BYTES, SPACE, column_bytes, id_and_text, materialize, mix, release_shuffles, sliced, word_spans
 from .components import connected_components
 
 RADIUS = 3
@@ -62,27 +62,26 @@ def shingles_of(batch: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarr
 
 def fingerprints_of(batches: Iterable[pa.RecordBatch], words: int, lanes: int = 1, repeats: bool = True) -> Iterator[pa.RecordBatch]:
     """Batches (key, text) to (key, f0, f1, ...): bit majorities of the XXH64 of all shingles of ``words`` words, or of all different ones; further lanes mix those hashes anew."""
-    for batch in sliced(batches, "text"):
+    for batch in sliced(batches, "text", CHUNK_BYTES // 2):
         hashes, edges = shingles_of(batch, words)
-        n = len(batch)
-        total = np.zeros((n, 64 * lanes), np.int64)
-        count = np.zeros(n, np.int64)
+        bits = np.zeros((len(batch), 8 * lanes), np.uint8)
         for d in np.flatnonzero(np.diff(edges)).tolist():
             own = hashes[edges[d] : edges[d + 1]]
             own = own if repeats else np.unique(own)
-            count[d] = len(own)
-            for lo in range(0, len(own), 1 << 16):
-                chunk = own[lo : lo + (1 << 16)]
-                for k in range(lanes):
-                    part = chunk if not k else mix(chunk + np.uint64(k))
-                    total[d, 64 * k : 64 * k + 64] += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
-        bits = np.packbits(2 * total > count[:, None], axis=1).view(">u8").astype(np.uint64).view(np.int64).reshape(n, lanes)
-        yield pa.record_batch([batch.column(0), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(lanes))], names=["key", *(f"f{k}" for k in range(lanes))])
+            for k in range(lanes):
+                total = np.zeros(64, np.int64)
+                for lo in range(0, len(own), 1 << 14):
+                    part = own[lo : lo + (1 << 14)]
+                    part = part if not k else mix(part + np.uint64(k))
+                    total += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+                bits[d, 8 * k : 8 * k + 8] = np.packbits(2 * total > len(own))
+        prints = bits.view(">u8").astype(np.uint64).view(np.int64)
+        yield pa.record_batch([batch.column(0), *(pa.array(np.ascontiguousarray(prints[:, k])) for k in range(lanes))], names=["key", *(f"f{k}" for k in range(lanes))])
 
 
 def shingle_sets_of(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """Batches (key, text) to (key, grams): the hashes of a text's different shingles."""
-    for batch in sliced(batches, "text"):
+    for batch in sliced(batches, "text", CHUNK_BYTES // 2):
         hashes, edges = shingles_of(batch, words)
         sets = [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
         grams = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in sets])]), np.concatenate(sets)).cast(pa.list_(pa.int64()))
@@ -169,12 +168,27 @@ def _similar(pairs: DataFrame, rows: DataFrame, prints: DataFrame, words: int) -
     return both.filter(common >= SIMILARITY * (F.size("a_grams") + F.size("b_grams") - common)).select("a", "b")
 
 
+def _meetings(distinct: DataFrame, lanes: list[str]) -> DataFrame:
+    """Pairs (a, b) of fingerprints and a hub of a variant of one of these lanes' blocks. Half of the lanes at a time halve what is shuffled at once."""
+    mask = F.lit((1 << BLOCK) - 1)
+    blocks = [F.shiftrightunsigned(f, BLOCK * h).bitwiseAND(mask) + F.lit(2 * k + h << 32) for k, f in enumerate(lanes) for h in (0, 1)]
+    flips = F.lit([0, *(1 << i for i in range(BLOCK))])
+    ball = distinct.select("id", F.explode(F.array(*blocks)).alias("block")).select("id", "block", F.explode(flips).alias("flip"))
+    ball = ball.select("id", F.col("block").bitwiseXOR(F.col("flip")).alias("variant"))
+    # rows of the ball are small and compress well: coalesced by their bytes, they would fill a task's memory when sorted
+    ball = ball.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "variant")
+    own = Window.partitionBy("variant")
+    met = ball.select("id", F.min("id").over(own).alias("low"), F.max("id").over(own).alias("high")).filter("low <> high")
+    pairs = met.select("id", F.explode(F.array("low", "high")).alias("hub")).filter("id <> hub")
+    return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     """(key, component): classes of near copies, a Jaccard similarity of 0.8 or more of their sets of 5-word shingles.
 
     ``key`` is the hash of (doc_id, text). Near copies of that kind differ in more than 3 of 64 bits, so the ball hashing runs on sixteen blocks of 28 bits
     of a 512-bit fingerprint: every block emits its variants within one flip, so pairs with a block at distance 2 or less meet. Whoever
-    meets is compared with two hubs of the variant (its smallest and largest fingerprint), not with everyone; up to four that meet are all compared.
+    meets is compared with two hubs of the variant (its smallest and largest fingerprint), not with everyone; up to three that meet are all compared.
     A link counts if the 512 bits are clearly near enough, or else if the shingle sets themselves are. ``component`` is the smallest linked fingerprint's number.
     """
     spark = docs.sparkSession
@@ -183,16 +197,9 @@ def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     prints = rows.mapInArrow(lambda it: fingerprints_of(it, words, LANES, repeats=False), "key long, " + ", ".join(f"{f} long" for f in lanes))
     prints = materialize(prints.withColumn("id", F.xxhash64(*lanes)), "fingerprints")
     distinct = prints.groupBy("id").agg(*[F.first(f).alias(f) for f in lanes])
-    mask = F.lit((1 << BLOCK) - 1)
-    blocks = [F.shiftrightunsigned(f, BLOCK * h).bitwiseAND(mask) + F.lit(2 * k + h << 32) for k, f in enumerate(lanes) for h in (0, 1)]
-    flips = F.lit([0, *(1 << i for i in range(BLOCK))])
-    ball = distinct.select("id", F.explode(F.array(*blocks)).alias("block")).select("id", "block", F.explode(flips).alias("flip"))
-    ball = ball.select("id", F.col("block").bitwiseXOR(F.col("flip")).alias("variant"))
-    own = Window.partitionBy("variant")
-    before = F.lag("id").over(own.orderBy("id"))
-    met = ball.select("id", F.min("id").over(own).alias("low"), F.max("id").over(own).alias("high"), F.count(F.lit(1)).over(own).alias("n"), before.alias("before"))
-    met = met.filter("low <> high").select("id", F.array("low", "high", F.when(F.col("n") == 4, F.col("before"))).alias("hubs"))
-    pairs = met.select("id", F.explode("hubs").alias("hub")).filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    found = [materialize(_meetings(distinct, half), "meetings") for half in (lanes[: LANES // 2], lanes[LANES // 2 :])]
+    release_shuffles(spark)
+    pairs = found[0].union(found[1]).distinct()
     side = lambda x: distinct.select(F.col("id").alias(x), *[F.col(f).alias(f"{x}_{f}") for f in lanes])
     apart = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in lanes), F.lit(0))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", apart.alias("apart")).filter(F.col("apart") <= FAR_BITS)
