@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialize, sliced
+from .common import id_and_text, lean, materialize, sliced
 from .tokens import BYTE_BPE, END_ID, words
 
 CAPACITY = 1024
@@ -54,7 +54,7 @@ def pieces(docs: DataFrame, vocabulary: str = BYTE_BPE, capacity: int = CAPACITY
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
 
-    return id_and_text(docs).mapInArrow(run, _PIECES)
+    return id_and_text(docs).mapInArrow(lean(run), _PIECES)
 
 
 def sweep(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, SPACE, column_bytes, id_and_text, materialize, mix, release_shuffles, sliced, word_spans
+from .common import CHUNK_BYTES, SPACE, column_bytes, id_and_text, lean, materialize, mix, release_shuffles, sliced, word_spans
 from .components import connected_components
 
 RADIUS = 3
@@ -91,7 +91,7 @@ def shingle_sets_of(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[p
 def fingerprint(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp long) of every row."""
     rows = id_and_text(docs)
-    return rows.mapInArrow(lambda it: fingerprints_of(it, words), "key long, f0 long").toDF("doc_id", "fp")
+    return rows.mapInArrow(lean(lambda it: fingerprints_of(it, words)), "key long, f0 long").toDF("doc_id", "fp")
 
 
 def _one(bit):
@@ -161,7 +161,7 @@ def _similar(pairs: DataFrame, rows: DataFrame, prints: DataFrame, words: int) -
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     keys = prints.join(ends, "id", "left_semi").groupBy("id").agg(F.min("key").alias("key"))
     texts = rows.join(keys, "key").select("id", "text")
-    sets = materialize(texts.mapInArrow(lambda it: shingle_sets_of(it, words), "id long, grams array<long>"), "shingles").dropDuplicates(["id"])
+    sets = materialize(texts.mapInArrow(lean(lambda it: shingle_sets_of(it, words)), "id long, grams array<long>"), "shingles").dropDuplicates(["id"])
     side = lambda x: sets.select(F.col("id").alias(x), F.col("grams").alias(f"{x}_grams"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("a_grams", "b_grams"))
@@ -194,7 +194,7 @@ def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     spark = docs.sparkSession
     lanes = [f"f{k}" for k in range(LANES)]
     rows = id_and_text(docs).withColumn("key", F.xxhash64("doc_id", "text")).select("key", "text")
-    prints = rows.mapInArrow(lambda it: fingerprints_of(it, words, LANES, repeats=False), "key long, " + ", ".join(f"{f} long" for f in lanes))
+    prints = rows.mapInArrow(lean(lambda it: fingerprints_of(it, words, LANES, repeats=False)), "key long, " + ", ".join(f"{f} long" for f in lanes))
     prints = materialize(prints.withColumn("id", F.xxhash64(*lanes)), "fingerprints")
     distinct = prints.groupBy("id").agg(*[F.first(f).alias(f) for f in lanes])
     found = [materialize(_meetings(distinct, half), "meetings") for half in (lanes[: LANES // 2], lanes[LANES // 2 :])]

@@ -30,6 +30,7 @@ from .common import (
     column_bytes,
     gram_hashes,
     id_and_text,
+    lean,
     materialize,
     mix,
     release_shuffles,
@@ -217,8 +218,8 @@ def _pieces(window: int):
 
 def find_marks(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
     """keyed: (key long, text string without nulls). Marks by block, see ``_MARKS``."""
-    blocks = keyed.mapInArrow(lambda it: blocks_of(it, window), _BLOCKS)
-    return blocks.repartition("anchor").mapInArrow(marks_of, _MARKS)
+    blocks = keyed.mapInArrow(lean(lambda it: blocks_of(it, window)), _BLOCKS)
+    return blocks.repartition("anchor").mapInArrow(lean(marks_of), _MARKS)
 
 
 def deduplicate_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -236,7 +237,7 @@ def deduplicate_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     own = marks.groupBy("key").agg(F.collect_set(F.struct("start", "mask", "ref_key", "ref_start")).alias("marks"))
     joined = rows.join(own.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "marks")
     return joined.mapInArrow(
-        _pieces(window),
+        lean(_pieces(window)),
         "doc_id long, text string, n_words long, n_removed long, kept_sha256 string, factors array<struct<start:int,length:int,ref_key:long,ref_start:int>>",
     )
 
@@ -259,7 +260,7 @@ def without_duplicates(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             cols = [batch.column(i) if i != at else pa.array(new, pa.string()) for i in range(batch.num_columns - 1)]
             yield pa.record_batch(cols, names=names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(lean(run), docs.schema)
 
 
 def _cut(text: str, marks: pa.Scalar, window: int) -> str:
