@@ -205,10 +205,21 @@ def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", apart.alias("apart")).filter(F.col("apart") <= FAR_BITS)
     pairs = materialize(pairs, "pairs")
     release_shuffles(spark)
-    sure = pairs.filter(F.col("apart") <= SURE_BITS).select("a", "b")
-    links = materialize(sure.union(_similar(pairs.filter(F.col("apart") > SURE_BITS).select("a", "b"), rows, prints, words)), "links")
-    release_shuffles(spark)
-    labels = connected_components(links)
+    # What links join already needs no look at the shingles, so clear links come first, then each one's nearest doubtful pairs, then the rest.
+    labels = connected_components(pairs.filter(F.col("apart") <= SURE_BITS))
+    doubtful = pairs.filter(F.col("apart") > SURE_BITS)
+    for last in (False, False, True):
+        labels = materialize(labels, "labels")
+        release_shuffles(spark)
+        of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label"))  # noqa: B023, E731
+        doubtful = doubtful.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b"))
+        doubtful = materialize(doubtful.select("a", "b", "apart"), "doubtful")
+        now = doubtful
+        if not last:
+            now = materialize(doubtful.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("m")).select("a", "m.b"), "nearest")
+            doubtful = doubtful.join(now, ["a", "b"], "left_anti")
+        links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(_similar(now.select("a", "b"), rows, prints, words))
+        labels = connected_components(links)
     return prints.join(labels, prints.id == labels.node, "left").select("key", F.coalesce("label", "id").alias("component"))
 
 
