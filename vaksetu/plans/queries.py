@@ -61,12 +61,21 @@ p AS (
 )"""
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    toks = F.slice(F.filter(F.split("text", r"\s+"), lambda t: t != ""), 1, 32)
-    p = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("bucket"), toks.alias("toks"))
+def _pairs(docs: DataFrame, toks) -> DataFrame:
+    p = docs.select("doc_id", F.col("lang").alias("bucket"), toks.alias("toks"))
     return p.select("doc_id", "bucket", F.array_join("toks", " ").alias("reference"), F.array_join(F.filter("toks", lambda t, i: (i + 1 + F.col("doc_id")) % (2 + F.col("doc_id") % 13) != 0), " ").alias("hypothesis"))
 
 
+def whole_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of all tokens of a document; they have no SQL, because DuckDB's levenshtein is too slow for them."""
+    # a distance costs the square of a text's length, so rows of a small file are worth dealing out
+    return _pairs(table(spark, sf_dir, "documents").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id"), F.filter(F.split("text", r"\s+"), lambda t: t != ""))
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(table(spark, sf_dir, "documents"), F.slice(F.filter(F.split("text", r"\s+"), lambda t: t != ""), 1, 32))
+
+
 def errors_sql(with_rest: str) -> str:
     letters = lambda x: f"translate(replace({x}, ' ', ''), 'éóèñçüêäöíàâîïôûùúáëæœÿ', 'ABCDEFGHIJKLMNOPQRSTUVW')"
     return f"""
@@ -84,16 +93,16 @@ WITH {PAIRS_SQL}, s AS (
 {with_rest}"""
 
 
-def folded_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.with_folded(pairs(spark, sf_dir), {"r": "reference", "h": "hypothesis"})
+def folded_pairs(spark: SparkSession, sf_dir: str, of=pairs) -> DataFrame:
+    return text.with_folded(of(spark, sf_dir), {"r": "reference", "h": "hypothesis"})
 
 
 def folded(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return text.with_folded(table(spark, sf_dir, name), {"f": "text"})
 
 
-def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.error_counts(pairs(spark, sf_dir))
+def counted(spark: SparkSession, sf_dir: str, of=pairs) -> DataFrame:
+    return scoring.error_counts(of(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- text
@@ -108,18 +117,18 @@ def normalise_punct(spark, sf):
 
 
 @query(errors_sql("SELECT doc_id, CAST(wer_errors AS BIGINT) AS errors, CAST(wer_length AS BIGINT) AS length FROM e"))
-def wer_pairs(spark, sf):
-    return folded_pairs(spark, sf).select("doc_id", text.word_errors(F.col("r"), F.col("h"), False, True).alias("e")).select("doc_id", "e.errors", "e.length")
+def wer_pairs(spark, sf, of=pairs):
+    return folded_pairs(spark, sf, of).select("doc_id", text.word_errors(F.col("r"), F.col("h"), False, True).alias("e")).select("doc_id", "e.errors", "e.length")
 
 
 @query(errors_sql("SELECT doc_id, CAST(punctuated_wer_errors AS BIGINT) AS errors, CAST(punctuated_wer_length AS BIGINT) AS length FROM e"))
-def wer_punct_pairs(spark, sf):
-    return folded_pairs(spark, sf).select("doc_id", text.word_errors(F.col("r"), F.col("h"), True, True).alias("e")).select("doc_id", "e.errors", "e.length")
+def wer_punct_pairs(spark, sf, of=pairs):
+    return folded_pairs(spark, sf, of).select("doc_id", text.word_errors(F.col("r"), F.col("h"), True, True).alias("e")).select("doc_id", "e.errors", "e.length")
 
 
 @query(errors_sql("SELECT doc_id, CAST(cer_errors AS BIGINT) AS errors, CAST(cer_length AS BIGINT) AS length FROM e"))
-def cer_pairs(spark, sf):
-    return folded_pairs(spark, sf).select("doc_id", text.char_errors(F.col("r"), F.col("h"), True).alias("e")).select("doc_id", "e.errors", "e.length")
+def cer_pairs(spark, sf, of=pairs):
+    return folded_pairs(spark, sf, of).select("doc_id", text.char_errors(F.col("r"), F.col("h"), True).alias("e")).select("doc_id", "e.errors", "e.length")
 
 
 _RATES = ", ".join(f"round(CASE WHEN sum({m}_length) > 0 THEN sum({m}_errors) / sum({m}_length) ELSE 0 END, 9) AS {m}" for m in scoring.METRICS)
@@ -130,18 +139,18 @@ def _rounded(df: DataFrame, *names: str, places: int = 9) -> DataFrame:
 
 
 @query(errors_sql(f"SELECT count(*) AS n, {_RATES} FROM e"))
-def report_overall(spark, sf):
-    return _rounded(scoring.pooled(counted(spark, sf).withColumn("one", F.lit(1)), "one", rollup=False), *scoring.METRICS).drop("one")
+def report_overall(spark, sf, of=pairs):
+    return _rounded(scoring.pooled(counted(spark, sf, of).withColumn("one", F.lit(1)), "one", rollup=False), *scoring.METRICS).drop("one")
 
 
 @query(errors_sql(f"SELECT bucket, count(*) AS n, {_RATES} FROM e GROUP BY bucket"))
-def report_by_bucket(spark, sf):
-    return _rounded(scoring.pooled(counted(spark, sf), rollup=False), *scoring.METRICS)
+def report_by_bucket(spark, sf, of=pairs):
+    return _rounded(scoring.pooled(counted(spark, sf, of), rollup=False), *scoring.METRICS)
 
 
 @query(errors_sql(f"SELECT bucket, count(*) AS n, {_RATES} FROM e GROUP BY GROUPING SETS ((bucket), ())"))
-def report_rollup(spark, sf):
-    return _rounded(scoring.report(pairs(spark, sf), bucket="bucket"), *scoring.METRICS)
+def report_rollup(spark, sf, of=pairs):
+    return _rounded(scoring.report(of(spark, sf), bucket="bucket"), *scoring.METRICS)
 
 
 _TURNS_SQL = """
@@ -162,21 +171,34 @@ def turn_pair_lengths(spark, sf):
 
 # ---------------------------------------------------------------- filters
 @query(errors_sql("SELECT doc_id, wer_length > 0 AND wer_errors / wer_length <= 0.20 AS passes FROM e"))
-def wer_filter(spark, sf):
-    return folded_pairs(spark, sf).select("doc_id", labels.passes_wer(F.col("r"), F.col("h"), folded=True).alias("passes"))
+def wer_filter(spark, sf, of=pairs):
+    return folded_pairs(spark, sf, of).select("doc_id", labels.passes_wer(F.col("r"), F.col("h"), folded=True).alias("passes"))
 
 
 @query(errors_sql("SELECT doc_id FROM e WHERE coalesce(wer_errors / nullif(wer_length, 0) <= 0.20, true)"))
-def label_stage_filter(spark, sf):
+def label_stage_filter(spark, sf, of=pairs):
     wer = labels.teacher_wer(F.col("r"), F.col("h"), True)
-    return folded_pairs(spark, sf).select("doc_id", wer.alias("wer")).filter(labels.kept_at_labelling(F.col("wer"))).select("doc_id")
+    return folded_pairs(spark, sf, of).select("doc_id", wer.alias("wer")).filter(labels.kept_at_labelling(F.col("wer"))).select("doc_id")
 
 
 @query(errors_sql("""SELECT count(*) FILTER (WHERE k) AS kept, count(*) FILTER (WHERE NOT k) AS dropped, round(count(*) FILTER (WHERE NOT k) / count(*), 9) AS drop_rate
 FROM (SELECT coalesce(wer_errors / nullif(wer_length, 0) <= 0.20, true) AS k FROM e)"""))
-def label_drop_rate(spark, sf):
+def label_drop_rate(spark, sf, of=pairs):
     kept = labels.kept_at_labelling(labels.teacher_wer(F.col("r"), F.col("h"), True))
-    return _rounded(labels.drop_rate(folded_pairs(spark, sf).select(kept.alias("kept"))), "drop_rate")
+    return _rounded(labels.drop_rate(folded_pairs(spark, sf, of).select(kept.alias("kept"))), "drop_rate")
+
+
+def _whole(f):
+    def run(spark, sf):
+        return f(spark, sf, whole_pairs)
+
+    run.__name__ = f"{f.__name__}_whole"
+    return query()(run)
+
+
+#: The same over whole documents.
+for _f in (wer_pairs, wer_punct_pairs, cer_pairs, report_overall, report_by_bucket, report_rollup, wer_filter, label_stage_filter, label_drop_rate):
+    _whole(_f)
 
 
 _INDEX_SQL = """
