@@ -156,40 +156,69 @@ SURE_BITS, FAR_BITS = 56, 110
 SIMILARITY = 0.8
 
 
-def _similar(pairs: DataFrame, rows: DataFrame, prints: DataFrame, words: int) -> DataFrame:
-    """Those of pairs (a, b) whose shingle sets have a Jaccard similarity of at least ``SIMILARITY``; only texts of such pairs are read into sets."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    keys = prints.join(ends, "id", "left_semi").groupBy("id").agg(F.min("key").alias("key"))
+def _sets(ids: DataFrame, rows: DataFrame, prints: DataFrame, words: int) -> DataFrame:
+    """(id, grams) of the fingerprints ``ids``; only their texts are read into sets."""
+    keys = prints.join(ids, "id", "left_semi").groupBy("id").agg(F.min("key").alias("key"))
     texts = rows.join(keys, "key").select("id", "text")
-    sets = materialize(texts.mapInArrow(lean(lambda it: shingle_sets_of(it, words)), "id long, grams array<long>"), "shingles").dropDuplicates(["id"])
+    return materialize(texts.mapInArrow(lean(lambda it: shingle_sets_of(it, words)), "id long, grams array<long>"), "shingles").dropDuplicates(["id"])
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, prints: DataFrame, words: int) -> DataFrame:
+    """Those of pairs (a, b) whose shingle sets have a Jaccard similarity of at least ``SIMILARITY``."""
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), rows, prints, words)
     side = lambda x: sets.select(F.col("id").alias(x), F.col("grams").alias(f"{x}_grams"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("a_grams", "b_grams"))
     return both.filter(common >= SIMILARITY * (F.size("a_grams") + F.size("b_grams") - common)).select("a", "b")
 
 
-def _meetings(distinct: DataFrame, lanes: list[str]) -> DataFrame:
-    """Pairs (a, b) of fingerprints and a hub of a variant of one of these lanes' blocks. Half of the lanes at a time halve what is shuffled at once."""
+def _ball(distinct: DataFrame, lanes: list[str]) -> DataFrame:
+    """(id, variant) within one flip of the blocks of these lanes. Half of the lanes at a time halve what is shuffled at once."""
     mask = F.lit((1 << BLOCK) - 1)
-    blocks = [F.shiftrightunsigned(f, BLOCK * h).bitwiseAND(mask) + F.lit(2 * k + h << 32) for k, f in enumerate(lanes) for h in (0, 1)]
+    blocks = [F.shiftrightunsigned(f, BLOCK * h).bitwiseAND(mask) + F.lit(2 * int(f[1:]) + h << 32) for f in lanes for h in (0, 1)]
     flips = F.lit([0, *(1 << i for i in range(BLOCK))])
     ball = distinct.select("id", F.explode(F.array(*blocks)).alias("block")).select("id", "block", F.explode(flips).alias("flip"))
-    ball = ball.select("id", F.col("block").bitwiseXOR(F.col("flip")).alias("variant"))
+    return ball.select("id", F.col("block").bitwiseXOR(F.col("flip")).alias("variant"))
+
+
+def _meetings(ball: DataFrame) -> DataFrame:
+    """(id, variant, low, high, crowded) of those who are not alone at a variant: its smallest and largest id, and whether it has more than three."""
     # rows of the ball are small and compress well: coalesced by their bytes, they would fill a task's memory when sorted
-    ball = ball.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "variant")
+    ball = ball.repartition(int(ball.sparkSession.conf.get("spark.sql.shuffle.partitions")), "variant")
     own = Window.partitionBy("variant")
-    met = ball.select("id", F.min("id").over(own).alias("low"), F.max("id").over(own).alias("high")).filter("low <> high")
+    met = ball.select("id", "variant", F.min("id").over(own).alias("low"), F.max("id").over(own).alias("high"), (F.count(F.lit(1)).over(own) > 3).alias("crowded"))
+    return met.filter("low <> high")
+
+
+def _with_hubs(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a member and a hub, the smallest or largest id of a variant; up to three members are all compared."""
     pairs = met.select("id", F.explode(F.array("low", "high")).alias("hub")).filter("id <> hub")
     return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
+def _labelled(df: DataFrame, labels: DataFrame, *ends: str) -> DataFrame:
+    for x in ends:
+        df = df.join(labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label")), x, "left").withColumn(f"{x}_label", F.coalesce(f"{x}_label", x))
+    return df
+
+
+def _within_crowds(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different classes that meet at a crowded variant."""
+    own = Window.partitionBy("variant")
+    rows = _labelled(met.filter("crowded").select("id", "variant"), labels, "id")
+    rows = rows.withColumn("low", F.min("id_label").over(own)).withColumn("high", F.max("id_label").over(own)).filter("low <> high")
+    rows = materialize(rows.select("id", "variant", "id_label"), "crowds")
+    side = lambda x: rows.select("variant", F.col("id").alias(x), F.col("id_label").alias(f"{x}_label"))
+    return side("a").join(side("b"), "variant").filter("a < b and a_label <> b_label").select("a", "b").distinct()
+
+
 def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     """(key, component): classes of near copies, a Jaccard similarity of 0.8 or more of their sets of 5-word shingles.
 
     ``key`` is the hash of (doc_id, text). Near copies of that kind differ in more than 3 of 64 bits, so the ball hashing runs on sixteen blocks of 28 bits
-    of a 512-bit fingerprint: every block emits its variants within one flip, so pairs with a block at distance 2 or less meet. Whoever
-    meets is compared with two hubs of the variant (its smallest and largest fingerprint), not with everyone; up to three that meet are all compared.
-    A link counts if the 512 bits are clearly near enough, or else if the shingle sets themselves are. ``component`` is the smallest linked fingerprint's number.
+    of a 512-bit fingerprint: every block emits its variants within one flip, so pairs with a block at distance 2 or less meet. Whoever meets is compared with two hubs of the variant (its smallest and largest fingerprint); what more than three
+    at a variant have left in different classes is then compared pair by pair. A link counts if the 512 bits are clearly near enough,
+    or else if the shingle sets themselves are. ``component`` is the smallest linked fingerprint's number.
     """
     spark = docs.sparkSession
     lanes = [f"f{k}" for k in range(LANES)]
@@ -197,29 +226,45 @@ def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     prints = rows.mapInArrow(lean(lambda it: fingerprints_of(it, words, LANES, repeats=False)), "key long, " + ", ".join(f"{f} long" for f in lanes))
     prints = materialize(prints.withColumn("id", F.xxhash64(*lanes)), "fingerprints")
     distinct = prints.groupBy("id").agg(*[F.first(f).alias(f) for f in lanes])
-    found = [materialize(_meetings(distinct, half), "meetings") for half in (lanes[: LANES // 2], lanes[LANES // 2 :])]
-    release_shuffles(spark)
-    pairs = found[0].union(found[1]).distinct()
+    balls = [_ball(distinct, lanes[: LANES // 2]), _ball(distinct, lanes[LANES // 2 :])]
+    met = []
+    for ball in balls:
+        met.append(materialize(_meetings(ball), "meetings"))
+        release_shuffles(spark)
+    met = met[0].union(met[1])
     side = lambda x: distinct.select(F.col("id").alias(x), *[F.col(f).alias(f"{x}_{f}") for f in lanes])
     apart = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in lanes), F.lit(0))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", apart.alias("apart")).filter(F.col("apart") <= FAR_BITS)
-    pairs = materialize(pairs, "pairs")
-    release_shuffles(spark)
-    # What links join already needs no look at the shingles, so clear links come first, then each one's nearest doubtful pairs, then the rest.
-    labels = connected_components(pairs.filter(F.col("apart") <= SURE_BITS))
-    doubtful = pairs.filter(F.col("apart") > SURE_BITS)
-    for last in (False, False, True):
-        labels = materialize(labels, "labels")
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        """(a, b, apart, sure) without pairs that differ in too many bits."""
+        pairs = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("apart", apart).filter(F.col("apart") <= FAR_BITS)
+        pairs = materialize(pairs.select("a", "b", "apart", (F.col("apart") <= SURE_BITS).alias("sure")), "pairs")
         release_shuffles(spark)
-        of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label"))  # noqa: B023, E731
-        doubtful = doubtful.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b"))
-        doubtful = materialize(doubtful.select("a", "b", "apart"), "doubtful")
-        now = doubtful
-        if not last:
-            now = materialize(doubtful.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("m")).select("a", "m.b"), "nearest")
-            doubtful = doubtful.join(now, ["a", "b"], "left_anti")
-        links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(_similar(now.select("a", "b"), rows, prints, words))
-        labels = connected_components(links)
+        return pairs
+
+    def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+        links = links.select("a", "b")
+        return connected_components(links if labels is None else links.union(labels.select("node", "label")))
+
+    labels = None
+    for crowds in (False, True):
+        pairs = possible(_within_crowds(met, labels) if crowds else _with_hubs(met))
+        if crowds and pairs.isEmpty():
+            break
+        # What links join already needs no look at the shingles, so clear links come first, then each one's nearest doubtful pairs, then the rest.
+        labels = joined(labels, pairs.filter("sure"))
+        doubtful = pairs.filter("not sure").select("a", "b", "apart")
+        for last in (False, False, True):
+            labels = materialize(labels, "labels")
+            release_shuffles(spark)
+            doubtful = _labelled(doubtful, labels, "a", "b").filter("a_label <> b_label")
+            doubtful = materialize(doubtful.select("a", "b", "apart"), "doubtful")
+            now = doubtful
+            if not last:
+                now = materialize(doubtful.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("m")).select("a", "m.b"), "nearest")
+                doubtful = doubtful.join(now, ["a", "b"], "left_anti")
+            labels = joined(labels, _similar(now.select("a", "b"), rows, prints, words))
+        labels = materialize(labels, "labels")
     return prints.join(labels, prints.id == labels.node, "left").select("key", F.coalesce("label", "id").alias("component"))
 
 
