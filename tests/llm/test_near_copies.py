@@ -42,3 +42,22 @@ def test_copies_in_a_crowd_of_blocks(spark, monkeypatch):
     label = labels_of(spark, rows)
     assert [label[2 * i] == label[2 * i + 1] for i in range(60)] == [True] * 60
     assert len(set(label.values())) == 60
+
+
+def test_short_texts_are_exact(spark):
+    """Pairs of 5 to 60 words that share four fifths of their shingles or a little less, with and without a common line."""
+    rng = random.Random(13)
+    rows, line = [], " ".join(f"common{k}" for k in range(8))
+    for i in range(300):
+        words = [f"w{rng.randrange(20_000)}" for _ in range(rng.randint(5, 60))]
+        cut = rng.randint(1, max(1, len(words) // 2))
+        other = words + [f"x{rng.randrange(20_000)}" for _ in range(cut)]
+        head = f"{line} " if i % 3 == 0 else ""
+        rows += [(2 * i, head + " ".join(words)), (2 * i + 1, head + " ".join(other))]
+    rows.append((600, " ".join(f"e{k}" for k in range(8))))
+    rows.append((601, rows[-1][1] + " more"))  # 4 of 5 shingles
+    sets = {i: grams(t) for i, t in rows}
+    label = labels_of(spark, rows)
+    want = [10 * len(sets[i] & sets[i + 1]) >= 8 * len(sets[i] | sets[i + 1]) for i in range(0, 602, 2)]
+    assert 60 < sum(want) < 280
+    assert [label[i] == label[i + 1] for i in range(0, 602, 2)] == want

@@ -61,13 +61,15 @@ def shingles_of(batch: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarr
 
 
 def fingerprints_of(batches: Iterable[pa.RecordBatch], words: int, lanes: int = 1, repeats: bool = True) -> Iterator[pa.RecordBatch]:
-    """Batches (key, text) to (key, f0, f1, ...): bit majorities of the XXH64 of all shingles of ``words`` words, or of all different ones; further lanes mix those hashes anew."""
+    """Batches (key, text) to (key, f0, f1, ...): bit majorities of the XXH64 of all shingles of ``words`` words, or of all different ones (then with their number, n); further lanes mix those hashes anew."""
     for batch in sliced(batches, "text", CHUNK_BYTES // 2):
         hashes, edges = shingles_of(batch, words)
         bits = np.zeros((len(batch), 8 * lanes), np.uint8)
+        n = np.zeros(len(batch), np.int64)
         for d in np.flatnonzero(np.diff(edges)).tolist():
             own = hashes[edges[d] : edges[d + 1]]
             own = own if repeats else np.unique(own)
+            n[d] = len(own)
             for k in range(lanes):
                 total = np.zeros(64, np.int64)
                 for lo in range(0, len(own), 1 << 14):
@@ -76,7 +78,9 @@ def fingerprints_of(batches: Iterable[pa.RecordBatch], words: int, lanes: int =
                     total += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
                 bits[d, 8 * k : 8 * k + 8] = np.packbits(2 * total > len(own))
         prints = bits.view(">u8").astype(np.uint64).view(np.int64)
-        yield pa.record_batch([batch.column(0), *(pa.array(np.ascontiguousarray(prints[:, k])) for k in range(lanes))], names=["key", *(f"f{k}" for k in range(lanes))])
+        sizes = [] if repeats else [("n", pa.array(n))]
+        columns = [("key", batch.column(0)), *((f"f{k}", pa.array(np.ascontiguousarray(prints[:, k]))) for k in range(lanes)), *sizes]
+        yield pa.record_batch([c for _, c in columns], names=[name for name, _ in columns])
 
 
 def shingle_sets_of(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -154,6 +158,8 @@ LANES, BLOCK = 8, 28
 #: Pairs at this many of 512 bits or fewer are near copies (for 0.8, 2.6 deviations below the mean); beyond ``FAR_BITS`` they are not (4 above); between, shingle sets decide.
 SURE_BITS, FAR_BITS = 56, 110
 SIMILARITY = 0.8
+#: Sets of at most so many shingles do not rely on fingerprints (ties of the majority make their bits differ more often): they meet by rare shingles, and the sets decide.
+SHORT = 100
 
 
 def _sets(ids: DataFrame, rows: DataFrame, prints: DataFrame, words: int) -> DataFrame:
@@ -181,6 +187,21 @@ def _ball(distinct: DataFrame, lanes: list[str]) -> DataFrame:
     return ball.select("id", F.col("block").bitwiseXOR(F.col("flip")).alias("variant"))
 
 
+def _rare_shingles(distinct: DataFrame, rows: DataFrame, prints: DataFrame, words: int) -> DataFrame:
+    """(id, variant): the rarest shingles of short sets, so many that any two with a similarity of ``SIMILARITY`` have one of them in common.
+
+    Two sets of which one is short have at most ``SHORT / SIMILARITY`` shingles each. Of a set of n, a similar one holds at least SIMILARITY * n, so it
+    cannot miss all of the first n - SIMILARITY * n + 1 in an order that holds for all sets; rare ones first, few meet at each.
+    """
+    grams = _sets(distinct.filter(F.col("n").between(1, int(SHORT / SIMILARITY))).select("id"), rows, prints, words)
+    grams = materialize(grams.select("id", F.size("grams").alias("n"), F.explode("grams").alias("gram")), "grams")
+    often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    # a shingle of one text only comes first and meets nobody, so places are counted and the row itself is left out
+    place = F.row_number().over(Window.partitionBy("id").orderBy("often", "gram"))
+    shared = grams.join(often, "gram").withColumn("alone", F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("id"))).withColumn("place", place + F.col("alone"))
+    return shared.filter(F.col("place") <= F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-9) + 1).select("id", F.col("gram").alias("variant"))
+
+
 def _meetings(ball: DataFrame) -> DataFrame:
     """(id, variant, low, high, crowded) of those who are not alone at a variant: its smallest and largest id, and whether it has more than three."""
     # rows of the ball are small and compress well: coalesced by their bytes, they would fill a task's memory when sorted
@@ -216,29 +237,32 @@ def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     """(key, component): classes of near copies, a Jaccard similarity of 0.8 or more of their sets of 5-word shingles.
 
     ``key`` is the hash of (doc_id, text). Near copies of that kind differ in more than 3 of 64 bits, so the ball hashing runs on sixteen blocks of 28 bits
-    of a 512-bit fingerprint: every block emits its variants within one flip, so pairs with a block at distance 2 or less meet. Whoever meets is compared with two hubs of the variant (its smallest and largest fingerprint); what more than three
-    at a variant have left in different classes is then compared pair by pair. A link counts if the 512 bits are clearly near enough,
+    of a 512-bit fingerprint: every block emits its variants within one flip, so pairs with a block at distance 2 or less meet. Short sets also meet at their
+    rare shingles, which misses no pair. Whoever meets is compared with two hubs of the variant (its smallest and largest fingerprint); what more than three
+    at a variant have left in different classes is then compared pair by pair. A link counts if the 512 bits of two long texts are clearly near enough,
     or else if the shingle sets themselves are. ``component`` is the smallest linked fingerprint's number.
     """
     spark = docs.sparkSession
     lanes = [f"f{k}" for k in range(LANES)]
     rows = id_and_text(docs).withColumn("key", F.xxhash64("doc_id", "text")).select("key", "text")
-    prints = rows.mapInArrow(lean(lambda it: fingerprints_of(it, words, LANES, repeats=False)), "key long, " + ", ".join(f"{f} long" for f in lanes))
+    prints = rows.mapInArrow(lean(lambda it: fingerprints_of(it, words, LANES, repeats=False)), "key long, " + ", ".join(f"{f} long" for f in lanes) + ", n long")
     prints = materialize(prints.withColumn("id", F.xxhash64(*lanes)), "fingerprints")
-    distinct = prints.groupBy("id").agg(*[F.first(f).alias(f) for f in lanes])
-    balls = [_ball(distinct, lanes[: LANES // 2]), _ball(distinct, lanes[LANES // 2 :])]
+    distinct = prints.groupBy("id").agg(*[F.first(f).alias(f) for f in lanes], F.min("n").alias("n"))
+    balls = [_ball(distinct, lanes[: LANES // 2]), _ball(distinct, lanes[LANES // 2 :]), _rare_shingles(distinct, rows, prints, words)]
     met = []
     for ball in balls:
         met.append(materialize(_meetings(ball), "meetings"))
         release_shuffles(spark)
-    met = met[0].union(met[1])
-    side = lambda x: distinct.select(F.col("id").alias(x), *[F.col(f).alias(f"{x}_{f}") for f in lanes])
+    met = met[0].union(met[1]).union(met[2])
+    side = lambda x: distinct.select(F.col("id").alias(x), F.col("n").alias(f"{x}_n"), *[F.col(f).alias(f"{x}_{f}") for f in lanes])
     apart = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in lanes), F.lit(0))
+    short = F.least("a_n", "b_n") <= SHORT
 
     def possible(pairs: DataFrame) -> DataFrame:
-        """(a, b, apart, sure) without pairs that differ in too many bits."""
-        pairs = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("apart", apart).filter(F.col("apart") <= FAR_BITS)
-        pairs = materialize(pairs.select("a", "b", "apart", (F.col("apart") <= SURE_BITS).alias("sure")), "pairs")
+        """(a, b, apart, sure) without pairs that differ too much, in their bits or, if one is short, in the sizes of their sets."""
+        pairs = pairs.join(side("a"), "a").join(side("b"), "b").withColumns({"apart": apart, "short": short})
+        near = F.when(F.col("short"), F.least("a_n", "b_n") >= SIMILARITY * F.greatest("a_n", "b_n") - 1e-9).otherwise(F.col("apart") <= FAR_BITS)
+        pairs = materialize(pairs.filter(near).select("a", "b", "apart", (~F.col("short") & (F.col("apart") <= SURE_BITS)).alias("sure")), "pairs")
         release_shuffles(spark)
         return pairs
 
