@@ -219,8 +219,8 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, column: str = "text",
     t = F.col(f"`{column}`")
     own = "__pseudonym_" + "_".join(sorted(docs.columns))[:40]  # clashes with no column
     hits = F.transform(F.regexp_extract_all(t, F.lit(_ANY), F.lit(0)), lambda m: F.struct(m.alias("was"), kind_of(m).alias("kind")))
-    # most texts have no digit run or @ worth the full pattern
-    some = t.rlike(r"[0-9]{2}|@|AKIA|[=:]\s{0,3}[\"']?[A-Za-z0-9]{8}")
+    # most texts have nothing that any of the patterns needs: two digits (in an address of single digits, with a point between), @, AKIA or a value
+    some = t.rlike(r"[0-9]\.?[0-9]|@|AKIA|[=:]\s{0,3}[\"']?[A-Za-z0-9]{8}")
     rows = docs.withColumn(own, F.when(some, hits))
     new = F.transform(F.col(own), lambda h: F.struct(h.kind.alias("kind"), pseudonym(h.was, h.kind, key).alias("value")))
     rows = rows.withColumn(own, new)
