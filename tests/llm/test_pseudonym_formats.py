@@ -24,3 +24,19 @@ def test_screen_covers_the_patterns(run):
     a, b = run("the resolver is 8.8.8.8 or 1.1.1.1", "in 2024 the resolver is 8.8.8.8 or 1.1.1.1")
     assert [k for k, _ in a[1]] == ["ip", "ip"] and a[1] == b[1] and "8.8.8.8" not in a[0]
     assert b[0] == "in 2024 " + a[0]
+
+
+def test_numbers_in_other_groups(run):
+    cards = ["3782 822463 10005", "3782-822463-10005", "3056 930902 5904", "41 1111 11111 11111", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"]
+    phones = ["+12125551234", "+1 2125551234", "+1(212)5551234", "+1212-555-1234"]
+    for was, (text, found) in zip(cards + phones, run(*(f"see {x}, please" for x in cards + phones)), strict=True):
+        kind = "card" if was in cards else "phone"
+        assert [k for k, _ in found] == [kind] and was not in text
+        assert re.sub(r"\d", "0", found[0][1]) == re.sub(r"\d", "0", was)
+        assert luhn(found[0][1]) == 0 if kind == "card" else re.search(r"^\+1 ?\(?[2-9]\d\d\)?[ -]?[2-9]", found[0][1])
+
+
+def test_chains_swallow_nothing(run):
+    texts = ["ref 12345 2024-01-05", "212-555-1234 212-555-9876", "5 3782 822463 10005", "7 4111 1111 1111 1111 123", "12345 123456 10.0.0.1", "3782 822463 10006"]
+    got = [[k for k, _ in found] for _, found in run(*texts)]
+    assert got == [["date"], ["phone", "phone"], ["card"], ["card"], ["ip"], []]

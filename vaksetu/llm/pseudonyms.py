@@ -3,7 +3,7 @@
 Numbers and dates of these kinds are found, validated, and permuted within their own format, so a value always gives the same
 pseudonym under a key (documents stay linked), two values never give the same one, and the result is a valid value of its kind:
 
-* ``card``: 13 to 19 digits, grouped or not, with a right Luhn digit; the first digit stays, the last is the new Luhn digit;
+* ``card``: 13 to 19 digits, grouped by single spaces or hyphens or not, with a right Luhn digit (of a card in groups of four, what follows its fourth group is not seen as part of it); the first digit stays, the last is the new Luhn digit;
 * ``phone``: North American numbers with valid area and exchange codes, and other numbers with +, whose last seven digits are permuted;
 * ``ip``: four octets;
 * ``ssn``: US numbers of a valid area, group and serial;
@@ -35,12 +35,15 @@ PATTERNS = {
     "ip": r"(?:\d{1,3}\.){3}\d{1,3}(?![0-9A-Za-z]|\.\d)",
     "date": r"(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![0-9A-Za-z])",
     "ssn": r"\d{3}-\d{2}-\d{4}(?![0-9A-Za-z])",
-    "card": r"\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}(?![0-9A-Za-z])|\d{13,19}(?![0-9A-Za-z])",
-    "phone": r"(?:\+1[ .-]?|1[ .-])?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?![0-9A-Za-z])|\+[2-9]\d{0,2}(?:[ .-]?\d{1,4}){2,6}(?![0-9A-Za-z])",
+    "card": r"\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}(?![0-9A-Za-z])|\d{4}[ -]\d{6}[ -]\d{4,5}(?![0-9A-Za-z])|\d{13,19}(?![0-9A-Za-z])",
+    "phone": r"\+1[ .-]?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-]?)[2-9]\d{2}[ .-]?\d{4}(?![0-9A-Za-z])|(?:1[ .-])?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?![0-9A-Za-z])|\+[2-9]\d{0,2}(?:[ .-]?\d{1,4}){2,6}(?![0-9A-Za-z])",
 }
 KINDS = list(PATTERNS)
 _START = r"(?<![A-Za-z0-9.@+_-])"
-_ANY = _START + "(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+#: Cards in any other groups: a chain of digits to its end, unless something else begins at one of its later groups, which would be swallowed.
+_GROUPS = r"\d(?:[ -]?\d){12,18}"
+_CHAIN = r"(?!(?:\d+[ -])*\d+ (?:" + "|".join(f"(?:{PATTERNS[k]})" for k in ("date", "ssn", "card", "phone")) + "))" + _GROUPS + r"(?![ -]?\d|[A-Za-z]|\.\d)"
+_ANY = _START + "(?:" + "|".join(f"(?:{p})" for p in [*PATTERNS.values(), _CHAIN]) + ")"
 
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -202,7 +205,7 @@ def kind_of(s: Column) -> Column:
     """The kind of a match, or null if it does not validate as any."""
     out = F.lit(None).cast("string")
     for k in reversed(KINDS):
-        ok = s.rlike(f"^(?:{PATTERNS[k]})$")
+        ok = s.rlike(f"^(?:{PATTERNS[k]}{'|' + _GROUPS if k == 'card' else ''})$")
         out = F.when(ok & _VALID[k](s) if k in _VALID else ok, F.lit(k)).otherwise(out)
     return out
 
@@ -219,8 +222,8 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, column: str = "text",
     t = F.col(f"`{column}`")
     own = "__pseudonym_" + "_".join(sorted(docs.columns))[:40]  # clashes with no column
     hits = F.transform(F.regexp_extract_all(t, F.lit(_ANY), F.lit(0)), lambda m: F.struct(m.alias("was"), kind_of(m).alias("kind")))
-    # most texts have nothing that any of the patterns needs: two digits (in an address of single digits, with a point between), @, AKIA or a value
-    some = t.rlike(r"[0-9]\.?[0-9]|@|AKIA|[=:]\s{0,3}[\"']?[A-Za-z0-9]{8}")
+    # most texts have nothing that any of the patterns needs: two digits (single ones with a mark between), @, AKIA or a value
+    some = t.rlike(r"[0-9][ .-]?[0-9]|@|AKIA|[=:]\s{0,3}[\"']?[A-Za-z0-9]{8}")
     rows = docs.withColumn(own, F.when(some, hits))
     new = F.transform(F.col(own), lambda h: F.struct(h.kind.alias("kind"), pseudonym(h.was, h.kind, key).alias("value")))
     rows = rows.withColumn(own, new)
