@@ -40,3 +40,12 @@ def test_chains_swallow_nothing(run):
     texts = ["ref 12345 2024-01-05", "212-555-1234 212-555-9876", "5 3782 822463 10005", "7 4111 1111 1111 1111 123", "12345 123456 10.0.0.1", "3782 822463 10006"]
     got = [[k for k, _ in found] for _, found in run(*texts)]
     assert got == [["date"], ["phone", "phone"], ["card"], ["card"], ["ip"], []]
+
+
+def test_codes_that_start_with_0_or_1(run):
+    was = ["+1 (017) 555-7713", "+1 (117) 055-7713", "+1 (456) 155-2186"]
+    got = run(*was)
+    for x, (text, found) in zip(was, got, strict=True):
+        assert [k for k, _ in found] == ["phone"] and text != x and re.sub(r"\d", "0", text) == re.sub(r"\d", "0", x)
+        assert [text[i] > "1" for i in (4, 9)] == [x[i] > "1" for i in (4, 9)]
+    assert run("(017) 555-7713")[0] == ("(017) 555-7713", [])

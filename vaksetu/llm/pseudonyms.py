@@ -4,7 +4,7 @@ Numbers and dates of these kinds are found, validated, and permuted within their
 pseudonym under a key (documents stay linked), two values never give the same one, and the result is a valid value of its kind:
 
 * ``card``: 13 to 19 digits, grouped by single spaces or hyphens or not, with a right Luhn digit (of a card in groups of four, what follows its fourth group is not seen as part of it); the first digit stays, the last is the new Luhn digit;
-* ``phone``: North American numbers with valid area and exchange codes, and other numbers with +, whose last seven digits are permuted;
+* ``phone``: North American numbers with valid area and exchange codes, or any after +1, and other numbers with +, whose last seven digits are permuted;
 * ``ip``: four octets;
 * ``ssn``: US numbers of a valid area, group and serial;
 * ``date``: real days of 1900 to 2099, as 2024-02-29, 29/02/2024, 02/29/2024 (if no day.month date) or 29.02.2024;
@@ -36,7 +36,7 @@ PATTERNS = {
     "date": r"(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![0-9A-Za-z])",
     "ssn": r"\d{3}-\d{2}-\d{4}(?![0-9A-Za-z])",
     "card": r"\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}(?![0-9A-Za-z])|\d{4}[ -]\d{6}[ -]\d{4,5}(?![0-9A-Za-z])|\d{13,19}(?![0-9A-Za-z])",
-    "phone": r"\+1[ .-]?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-]?)[2-9]\d{2}[ .-]?\d{4}(?![0-9A-Za-z])|(?:1[ .-])?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?![0-9A-Za-z])|\+[2-9]\d{0,2}(?:[ .-]?\d{1,4}){2,6}(?![0-9A-Za-z])",
+    "phone": r"\+1[ .-]?(?:\(\d{3}\) ?|\d{3}[ .-]?)\d{3}[ .-]?\d{4}(?![0-9A-Za-z])|(?:1[ .-])?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?![0-9A-Za-z])|\+[2-9]\d{0,2}(?:[ .-]?\d{1,4}){2,6}(?![0-9A-Za-z])",
 }
 KINDS = list(PATTERNS)
 _START = r"(?<![A-Za-z0-9.@+_-])"
@@ -175,11 +175,12 @@ def _phone(s: Column, key) -> Column:
     american = ~s.rlike(r"^\+[2-9]")
     keep = F.when(american, n - 10).otherwise(n - 7)
     tail = F.slice(d, keep + 1, n)
-    # area and exchange codes start with 2 to 9
-    low = lambda i: F.when(american & i.isin(0, 3), 2).otherwise(0).cast("bigint")
-    values = F.transform(tail, lambda x, i: x - low(i))
-    moved = feistel(values, F.transform(tail, lambda _, i: F.lit(10).cast("bigint") - low(i)), key, "phone")
-    return _put_digits(s, F.concat(F.slice(d, F.lit(1), keep), F.transform(moved, lambda x, i: x + low(i))))
+    # area and exchange codes start with 2 to 9; after +1, those that start with 0 or 1 keep doing so
+    code = lambda i: american & i.isin(0, 3)
+    low = lambda x, i: F.when(code(i) & (x > 1), 2).otherwise(0).cast("bigint")
+    size = lambda x, i: F.when(code(i), F.when(x > 1, 8).otherwise(2)).otherwise(10).cast("bigint")
+    moved = feistel(F.transform(tail, lambda x, i: x - low(x, i)), F.transform(tail, size), key, "phone")
+    return _put_digits(s, F.concat(F.slice(d, F.lit(1), keep), F.zip_with(moved, F.transform(tail, low), lambda x, y: x + y)))
 
 
 def phone_valid(s: Column) -> Column:
