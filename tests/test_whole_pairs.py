@@ -80,3 +80,9 @@ def test_entry_scores_whole_documents(spark):
     got = {r.bucket: r for r in __spark_entry__.entry(spark).collect()}
     cut = {r.bucket: r for r in queries.QUERIES["report_rollup"](spark, "/root/testdata/sf0.001").collect()}
     assert got[None].n == cut[None].n and got[None].wer != cut[None].wer
+
+
+def test_streaming_report(spark, documents):
+    rows = lambda name: {r.bucket: (r.n, *(round(x, 9) for x in (r.wer, r.punctuated_wer, r.cer))) for r in queries.QUERIES[name](spark, documents[0]).collect()}
+    got = rows("streaming_report_whole")
+    assert got == rows("report_by_bucket_whole") and all(v[1] > 0 for v in got.values())

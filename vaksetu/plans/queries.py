@@ -774,15 +774,29 @@ def implied_runtimes(spark, sf):
 SELECT bucket, count(*) AS n, 0.0::DOUBLE AS wer, 0.0::DOUBLE AS punctuated_wer, 0.0::DOUBLE AS cer FROM t GROUP BY bucket""")
 def streaming_report(spark, sf):
     """Turns scored against themselves, as a stream over the table's files into a memory sink."""
+    rows = _stream(spark, sf, "conversations")
+    return _streamed(rows.select(F.col("role").alias("bucket"), F.col("text").alias("reference"), F.col("text").alias("hypothesis")), "streaming_report_out")
+
+
+@query()
+def streaming_report_whole(spark, sf):
+    """Whole documents against the same with words left out, as a stream; the batch form is report_by_bucket_whole."""
+    return _streamed(_pairs(_stream(spark, sf, "documents"), F.filter(F.split("text", r"\s+"), lambda t: t != "")), "streaming_report_whole_out")
+
+
+def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A stream over just this table, by the directory it lies in."""
+    at = f"{sf}/{name}.parquet"
+    one = not _is_dir(spark, at)
+    return spark.readStream.schema(table(spark, sf, name).schema).option("pathGlobFilter", f"{name}.parquet" if one else "*.parquet").parquet(sf if one else at)
+
+
+def _streamed(pairs: DataFrame, name: str) -> DataFrame:
     from ..streaming.reports import streaming_report as run
 
-    src = table(spark, sf, "conversations")
-    # a stream over just this table, by the directory it lies in
-    rows = spark.readStream.schema(src.schema).option("pathGlobFilter", "conversations.parquet" if not _is_dir(spark, f"{sf}/conversations.parquet") else "*.parquet").parquet(sf if not _is_dir(spark, f"{sf}/conversations.parquet") else f"{sf}/conversations.parquet")
-    name = "streaming_report_out"
-    q = run(rows.select(F.col("role").alias("bucket"), F.col("text").alias("reference"), F.col("text").alias("hypothesis")), "bucket").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q = run(pairs, "bucket").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return pairs.sparkSession.table(name)
 
 
 def _is_dir(spark: SparkSession, path: str) -> bool:
