@@ -26,14 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import id_and_text, sliced
-from .tokens import _BYTE_CUT, _OTHER, BYTE_BPE, KEPT, vocabulary_path
+from .tokens import _BYTE_CUT, _OTHER, BYTE_BPE, byte_letters, vocabulary_path
 
-
-def byte_letters() -> dict[str, int]:
-    """The printable letters that byte-level vocabularies write for bytes: printable Latin-1 as itself, the others from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+#: Pre-tokens and pairs that are kept.
+KEPT = 400_000
 
 
 class Merges:

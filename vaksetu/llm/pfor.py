@@ -140,6 +140,8 @@ def ids_at(data: bytes, first: int, n: int) -> np.ndarray:
 
 #: Ids of a file at most (a document with more has a file of its own).
 FILE_IDS = 1 << 22
+#: Tasks at most over which files are dealt to be read back.
+READERS = 20_000
 
 
 def write(docs: DataFrame, folder: str, vocabulary: str = WORD_BPE) -> DataFrame:
@@ -203,7 +205,9 @@ def read(manifest: DataFrame) -> DataFrame:
     # one row for each file, a few hundred to each task's gigabyte
     before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    return placed.repartition("path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # a stated number is not coalesced: the manifest is tiny, what its files hold is not
+    files = max(1, min(manifest.count(), READERS))
+    return placed.repartition(files, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, vocabulary: str = WORD_BPE) -> DataFrame:
