@@ -23,9 +23,56 @@ def test_pairs_between_the_hubs_of_a_crowd(spark):
     met = spark.createDataFrame([(i, 7, 1, 9, True) for i in (1, 4, 5, 9)], "id long, variant long, low long, high long, crowded boolean")
     none = spark.createDataFrame([], "node long, label long")
     assert (4, 5) not in {tuple(r) for r in simhash._with_hubs(met).collect()}
-    assert {tuple(r) for r in simhash._within_crowds(met, none).collect()} == {(a, b) for a in (1, 4, 5, 9) for b in (1, 4, 5, 9) if a < b}
-    some = spark.createDataFrame([(9, 1), (5, 1)], "node long, label long")
-    assert {tuple(r) for r in simhash._within_crowds(met, some).collect()} == {(1, 4), (4, 5), (4, 9)}
+    assert {r.id for r in simhash._left_in_crowds(met, none).collect()} == {1, 4, 5, 9}
+    same = spark.createDataFrame([(4, 1), (5, 1), (9, 1)], "node long, label long")
+    assert simhash._left_in_crowds(met, same).count() == 0
+    sets = [(1, 1, list(range(100, 200))), (4, 4, list(range(20))), (5, 5, list(range(1, 20))), (9, 9, list(range(60, 80)))]
+    left = spark.createDataFrame(sets, "id long, id_label long, grams array<long>")
+    assert {tuple(r) for r in simhash._by_rare_shingles(left).collect()} == {(4, 5)}
+
+
+def test_prefix_filters_miss_no_pair(spark):
+    """Families of sets around a similarity of 0.8, with a common part that all of them share."""
+    rng = random.Random(17)
+    sets = []
+    for family in range(12):
+        core = rng.sample(range(family * 1000, family * 1000 + 400), rng.randint(10, 80))
+        for _ in range(12):
+            own = [g for g in core if rng.random() < 0.95] + rng.sample(range(10**6), rng.randint(0, len(core) // 5)) + list(range(-8, 0))
+            sets.append((len(sets), len(sets), sorted(set(own))))
+    got = {tuple(r) for r in simhash._by_rare_shingles(spark.createDataFrame(sets, "id long, id_label long, grams array<long>")).collect()}
+    own = [set(g) for _, _, g in sets]
+    want = {(a, b) for a in range(len(own)) for b in range(a + 1, len(own)) if 10 * len(own[a] & own[b]) >= 8 * len(own[a] | own[b])}
+    assert len(want) > 50 and want <= got
+
+
+def test_classes_of_the_documents(spark):
+    """All near copies of the test documents, against all pairs of those that share a shingle."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    label = labels_of(spark, rows)
+    sets, at, parent = {}, {}, {i: i for i, _ in rows}
+    for i, t in rows:
+        w = "".join(c.lower() if c < "\x80" else c for c in t).split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+        for g in sets[i]:
+            at.setdefault(g, []).append(i)
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in {(x, y) for ids in at.values() for k, x in enumerate(ids) for y in ids[k + 1 :]}:
+        if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    ours = {}
+    for i, _ in rows:
+        ours.setdefault(label[i], []).append(i)
+    theirs = {}
+    for i, _ in rows:
+        theirs.setdefault(root(i), []).append(i)
+    assert sorted(map(sorted, ours.values())) == sorted(map(sorted, theirs.values()))
 
 
 def test_copies_in_a_crowd_of_blocks(spark, monkeypatch):

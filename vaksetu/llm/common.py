@@ -63,6 +63,14 @@ def release_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column of ``docs`` is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """(doc_id long, text string): other columns are left out, null text counts as empty. Also ships this package."""
     ship(docs.sparkSession)
@@ -178,6 +186,13 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix((run[k:] - run[:-k]) * inverse_powers(_WORD_BASE, len(words) + 1)[: len(words) - k + 1])
 
 
+def run_hashes(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each run of words from ``begin`` to before ``end``."""
+    run = np.zeros(len(words) + 1, _U64)
+    np.cumsum(words * powers(_WORD_BASE, len(words)), dtype=_U64, out=run[1:])
+    return mix((run[end] - run[begin]) * inverse_powers(_WORD_BASE, len(words) + 1)[begin] + (end - begin).astype(_U64))
+
+
 def sliding(x: np.ndarray, w: int, op=np.minimum) -> np.ndarray:
     """op over each run of ``w`` values, by doubling."""
     n = len(x) - w + 1

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, SPACE, column_bytes, id_and_text, lean, materialize, mix, release_shuffles, sliced, word_spans
+from .common import CHUNK_BYTES, SPACE, column_bytes, free_name, id_and_text, lean, materialize, mix, release_shuffles, run_hashes, sliced, word_hashes, word_spans
 from .components import connected_components
 
 RADIUS = 3
@@ -60,35 +60,53 @@ def shingles_of(batch: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarr
     return hashes, edges
 
 
-def fingerprints_of(batches: Iterable[pa.RecordBatch], words: int, lanes: int = 1, repeats: bool = True) -> Iterator[pa.RecordBatch]:
-    """Batches (key, text) to (key, f0, f1, ...): bit majorities of the XXH64 of all shingles of ``words`` words, or of all different ones (then with their number, n); further lanes mix those hashes anew."""
+def fingerprints_of(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Batches (key, text) to (key, f0): the bit majority of the XXH64 of all shingles of ``words`` words."""
     for batch in sliced(batches, "text", CHUNK_BYTES // 2):
         hashes, edges = shingles_of(batch, words)
-        bits = np.zeros((len(batch), 8 * lanes), np.uint8)
-        n = np.zeros(len(batch), np.int64)
-        for d in np.flatnonzero(np.diff(edges)).tolist():
-            own = hashes[edges[d] : edges[d + 1]]
-            own = own if repeats else np.unique(own)
-            n[d] = len(own)
-            for k in range(lanes):
-                total = np.zeros(64, np.int64)
-                for lo in range(0, len(own), 1 << 14):
-                    part = own[lo : lo + (1 << 14)]
-                    part = part if not k else mix(part + np.uint64(k))
-                    total += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
-                bits[d, 8 * k : 8 * k + 8] = np.packbits(2 * total > len(own))
-        prints = bits.view(">u8").astype(np.uint64).view(np.int64)
-        sizes = [] if repeats else [("n", pa.array(n))]
-        columns = [("key", batch.column(0)), *((f"f{k}", pa.array(np.ascontiguousarray(prints[:, k]))) for k in range(lanes)), *sizes]
-        yield pa.record_batch([c for _, c in columns], names=[name for name, _ in columns])
+        prints = majorities(hashes, edges, 1)
+        yield pa.record_batch([batch.column(0), pa.array(np.ascontiguousarray(prints[:, 0]))], names=["key", "f0"])
+
+
+def majorities(hashes: np.ndarray, edges: np.ndarray, lanes: int) -> np.ndarray:
+    """(rows, lanes) fingerprints: a bit is set if it is in over half of a row's hashes; further lanes mix the hashes anew."""
+    bits = np.zeros((len(edges) - 1, 8 * lanes), np.uint8)
+    for d in np.flatnonzero(np.diff(edges)).tolist():
+        own = hashes[edges[d] : edges[d + 1]]
+        for k in range(lanes):
+            total = np.zeros(64, np.int64)
+            for lo in range(0, len(own), 1 << 14):
+                part = own[lo : lo + (1 << 14)]
+                part = part if not k else mix(part + np.uint64(k))
+                total += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+            bits[d, 8 * k : 8 * k + 8] = np.packbits(2 * total > len(own))
+    return bits.view(">u8").astype(np.uint64).view(np.int64)
+
+
+def sets_of(batch: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of the different shingles of each row of (key, text), ascending, first of each row and the total); a text of fewer words is one shingle."""
+    raw, off = column_bytes(batch.column(1))
+    raw = _LOWER[raw]
+    start, end, first = word_spans(raw, off)
+    sizes = np.diff(first)
+    count = np.maximum(sizes - words + 1, np.minimum(sizes, 1))
+    edges = np.concatenate([[0], np.cumsum(count)])
+    if not edges[-1]:
+        return np.zeros(0, np.uint64), edges
+    begin = np.repeat(first[:-1] - edges[:-1], count) + np.arange(edges[-1])
+    hashes = run_hashes(word_hashes(raw, start, end), begin, np.minimum(begin + words, np.repeat(first[1:], count)))
+    row = np.repeat(np.arange(len(count)), count)
+    order = np.lexsort((hashes, row))
+    hashes, row = hashes[order], row[order]
+    new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])])
+    return hashes[new], np.searchsorted(row[new], np.arange(len(count) + 1))
 
 
 def shingle_sets_of(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """Batches (key, text) to (key, grams): the hashes of a text's different shingles."""
     for batch in sliced(batches, "text", CHUNK_BYTES // 2):
-        hashes, edges = shingles_of(batch, words)
-        sets = [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-        grams = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in sets])]), np.concatenate(sets)).cast(pa.list_(pa.int64()))
+        hashes, edges = sets_of(batch, words)
+        grams = pa.LargeListArray.from_arrays(edges, hashes.view(np.int64)).cast(pa.list_(pa.int64()))
         yield pa.record_batch([batch.column(0), grams], names=["key", "grams"])
 
 
@@ -151,69 +169,76 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Near copies: lanes of 64 bits, each with two blocks of ``BLOCK`` bits. For sets whose Jaccard similarity is 0.8 shingles' cosine is 0.89, and a bit
-#: differs with probability acos(0.89) / pi = 0.151: 77 of 512 on average, with a standard deviation of 8; a block is at distance 2 or less with
-#: probability 0.18, at least one of 16 with 0.96.
-LANES, BLOCK = 8, 28
-#: Pairs at this many of 512 bits or fewer are near copies (for 0.8, 2.6 deviations below the mean); beyond ``FAR_BITS`` they are not (4 above); between, shingle sets decide.
-SURE_BITS, FAR_BITS = 56, 110
 SIMILARITY = 0.8
-#: Sets of at most so many shingles do not rely on fingerprints (ties of the majority make their bits differ more often): they meet by rare shingles, and the sets decide.
-SHORT = 100
-
-
-def _sets(ids: DataFrame, rows: DataFrame, prints: DataFrame, words: int) -> DataFrame:
-    """(id, grams) of the fingerprints ``ids``; only their texts are read into sets."""
-    keys = prints.join(ids, "id", "left_semi").groupBy("id").agg(F.min("key").alias("key"))
-    texts = rows.join(keys, "key").select("id", "text")
-    return materialize(texts.mapInArrow(lean(lambda it: shingle_sets_of(it, words)), "id long, grams array<long>"), "shingles").dropDuplicates(["id"])
-
-
-def _similar(pairs: DataFrame, rows: DataFrame, prints: DataFrame, words: int) -> DataFrame:
-    """Those of pairs (a, b) whose shingle sets have a Jaccard similarity of at least ``SIMILARITY``."""
-    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), rows, prints, words)
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("grams").alias(f"{x}_grams"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("a_grams", "b_grams"))
-    return both.filter(common >= SIMILARITY * (F.size("a_grams") + F.size("b_grams") - common)).select("a", "b")
-
-
-def _ball(distinct: DataFrame, lanes: list[str]) -> DataFrame:
-    """(id, variant) within one flip of the blocks of these lanes. Half of the lanes at a time halve what is shuffled at once."""
-    mask = F.lit((1 << BLOCK) - 1)
-    blocks = [F.shiftrightunsigned(f, BLOCK * h).bitwiseAND(mask) + F.lit(2 * int(f[1:]) + h << 32) for f in lanes for h in (0, 1)]
-    flips = F.lit([0, *(1 << i for i in range(BLOCK))])
-    ball = distinct.select("id", F.explode(F.array(*blocks)).alias("block")).select("id", "block", F.explode(flips).alias("flip"))
-    return ball.select("id", F.col("block").bitwiseXOR(F.col("flip")).alias("variant"))
+#: Near copies: lanes of 64 bits, each with ``64 // BLOCK`` blocks.
+LANES, BLOCK = 8, 12
+#: A long set's seeds are its so many smallest hashes. Of two sets with a similarity of 0.8, 25.6 of 32 are common on average, with a standard
+#: deviation of 2.3; fewer than ``AGREE`` of them with a probability of about 0.0004.
+SEEDS, AGREE = 32, 18
+#: Sets of at most so many shingles have all of them as seeds and meet at the seed itself, without a block.
+SHORT = 64
+_BLOCKS = LANES * (64 // BLOCK)
+
+
+def seeds_of(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Batches (key, text) to (key, f0, f1, ..., n, seeds, blocks): fingerprint of the set, its size, its seeds and the block that belongs to each seed."""
+    for batch in sliced(batches, "text", CHUNK_BYTES // 2):
+        hashes, edges = sets_of(batch, words)
+        prints = majorities(hashes, edges, LANES)
+        n = np.diff(edges)
+        own = np.where(n <= SHORT, n, SEEDS)
+        to = np.concatenate([[0], np.cumsum(own)])
+        row = np.repeat(np.arange(len(n)), own)
+        seeds = hashes[np.repeat(edges[:-1] - to[:-1], own) + np.arange(to[-1])]
+        lane, part = np.divmod((seeds % np.uint64(_BLOCKS)).astype(np.int64), 64 // BLOCK)
+        block = (prints.view(np.uint64)[row, lane] >> (part * BLOCK).astype(np.uint64)) & np.uint64((1 << BLOCK) - 1)
+        lists = [pa.ListArray.from_arrays(to.astype(np.int32), x) for x in (seeds.view(np.int64), block.astype(np.int32))]
+        columns = [("key", batch.column(0)), *((f"f{k}", pa.array(np.ascontiguousarray(prints[:, k]))) for k in range(LANES)), ("n", pa.array(n)), ("seeds", lists[0]), ("blocks", lists[1])]
+        yield pa.record_batch([c for _, c in columns], names=[name for name, _ in columns])
 
 
-def _rare_shingles(distinct: DataFrame, rows: DataFrame, prints: DataFrame, words: int) -> DataFrame:
-    """(id, variant): the rarest shingles of short sets, so many that any two with a similarity of ``SIMILARITY`` have one of them in common.
+def _rare_seeds(distinct: DataFrame) -> DataFrame:
+    """(id, long, seed, block): the rarest seeds of each set, so many that near copies have some of them in common.
 
-    Two sets of which one is short have at most ``SHORT / SIMILARITY`` shingles each. Of a set of n, a similar one holds at least SIMILARITY * n, so it
-    cannot miss all of the first n - SIMILARITY * n + 1 in an order that holds for all sets; rare ones first, few meet at each.
+    Two sets that have ``need`` of their ``s`` seeds in common cannot miss each other in all of the first s - need + 1 in an order that holds for all sets; with rare ones
+    first, what many texts share (a licence, a footer) brings together only those that have little else. Short sets and long ones are two such searches; between
+    SIMILARITY * SHORT and SHORT shingles a set takes part in both, so each pair of near copies is in one of them.
     """
-    grams = _sets(distinct.filter(F.col("n").between(1, int(SHORT / SIMILARITY))).select("id"), rows, prints, words)
-    grams = materialize(grams.select("id", F.size("grams").alias("n"), F.explode("grams").alias("gram")), "grams")
-    often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
-    # a shingle of one text only comes first and meets nobody, so places are counted and the row itself is left out
-    place = F.row_number().over(Window.partitionBy("id").orderBy("often", "gram"))
-    shared = grams.join(often, "gram").withColumn("alone", F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("id"))).withColumn("place", place + F.col("alone"))
-    return shared.filter(F.col("place") <= F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-9) + 1).select("id", F.col("gram").alias("variant"))
+    zipped = lambda n, long: F.transform(F.slice(F.arrays_zip("seeds", "blocks"), F.lit(1), n), lambda z: F.struct(F.lit(long).alias("long"), z["seeds"].alias("seed"), z["blocks"].alias("block")))
+    none = F.array().cast("array<struct<long:boolean,seed:bigint,block:int>>")
+    short = F.when(F.col("n") <= SHORT, zipped(F.lit(SHORT), False)).otherwise(none)
+    long = F.when(F.col("n") > int(SIMILARITY * SHORT), zipped(F.lit(SEEDS), True)).otherwise(none)
+    rows = distinct.filter("n > 0").select("id", "n", F.explode(F.concat(short, long)).alias("s")).select("id", "n", "s.*")
+    rows = materialize(rows, "seeds")
+    often = rows.groupBy("long", "seed").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    # a seed of one text only comes first and meets nobody, so places are counted and the row itself is left out
+    own = Window.partitionBy("id", "long")
+    size = F.when(F.col("long"), F.lit(SEEDS)).otherwise(F.col("n"))
+    need = F.when(F.col("long"), F.lit(AGREE)).otherwise(F.ceil(SIMILARITY * F.col("n") - 1e-9))
+    shared = rows.join(often, ["long", "seed"]).withColumns({"place": F.row_number().over(own.orderBy("often", "seed")), "shared": F.count(F.lit(1)).over(own)})
+    return shared.filter(size - F.col("shared") + F.col("place") <= size - need + 1).select("id", "long", "seed", "block")
+
+
+def _ball(seeds: DataFrame) -> DataFrame:
+    """(id, variant) within one flip of a seed's block; a short set has the seed alone. Variants are hashes of both: a collision only costs a comparison."""
+    flips = F.array(*[F.col("block").bitwiseXOR(F.lit(m)) for m in (0, *(1 << i for i in range(BLOCK)))])
+    ball = seeds.select("id", "seed", F.explode(F.when(F.col("long"), flips).otherwise(F.array(F.lit(-1)))).alias("block"))
+    return ball.select("id", F.xxhash64("seed", "block").alias("variant"))
 
 
 def _meetings(ball: DataFrame) -> DataFrame:
-    """(id, variant, low, high, crowded) of those who are not alone at a variant: its smallest and largest id, and whether it has more than three."""
-    # rows of the ball are small and compress well: coalesced by their bytes, they would fill a task's memory when sorted
-    ball = ball.repartition(int(ball.sparkSession.conf.get("spark.sql.shuffle.partitions")), "variant")
-    own = Window.partitionBy("variant")
-    met = ball.select("id", "variant", F.min("id").over(own).alias("low"), F.max("id").over(own).alias("high"), (F.count(F.lit(1)).over(own) > 3).alias("crowded"))
-    return met.filter("low <> high")
+    """(id, variant, low, high, crowded) of those who are not alone at a variant: its smallest and largest id, and whether it has more than three.
+
+    Counts and ends are combined before the shuffle; a variant that very many rows reach is a skewed key of the join alone, which adaptive execution splits.
+    """
+    ends = ball.groupBy("variant").agg(F.min("id").alias("low"), F.max("id").alias("high"), (F.count(F.lit(1)) > 3).alias("crowded")).filter("low <> high")
+    return ball.join(ends.hint("merge"), "variant").select("id", "variant", "low", "high", "crowded")
 
 
 def _with_hubs(met: DataFrame) -> DataFrame:
     """Pairs (a, b) of a member and a hub, the smallest or largest id of a variant; up to three members are all compared."""
-    pairs = met.select("id", F.explode(F.array("low", "high")).alias("hub")).filter("id <> hub")
+    ends = [met.select("id", F.col(hub).alias("hub")) for hub in ("low", "high")]
+    pairs = ends[0].union(ends[1]).filter("id <> hub")
     return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
@@ -223,84 +248,112 @@ def _labelled(df: DataFrame, labels: DataFrame, *ends: str) -> DataFrame:
     return df
 
 
-def _within_crowds(met: DataFrame, labels: DataFrame) -> DataFrame:
-    """All pairs (a, b) of different classes that meet at a crowded variant."""
-    own = Window.partitionBy("variant")
+def _left_in_crowds(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, id_label) of those who meet another class at a crowded variant."""
     rows = _labelled(met.filter("crowded").select("id", "variant"), labels, "id")
-    rows = rows.withColumn("low", F.min("id_label").over(own)).withColumn("high", F.max("id_label").over(own)).filter("low <> high")
-    rows = materialize(rows.select("id", "variant", "id_label"), "crowds")
-    side = lambda x: rows.select("variant", F.col("id").alias(x), F.col("id_label").alias(f"{x}_label"))
-    return side("a").join(side("b"), "variant").filter("a < b and a_label <> b_label").select("a", "b").distinct()
+    apart = rows.groupBy("variant").agg(F.min("id_label").alias("low"), F.max("id_label").alias("high")).filter("low <> high").select("variant")
+    return rows.join(apart, "variant", "left_semi").select("id", "id_label").distinct()
+
+
+def _by_rare_shingles(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different classes among (id, id_label, grams), with all that are similar, by exact prefix filters.
+
+    With rare shingles first, a set of n that is similar to no smaller one meets it among its first n - SIMILARITY * n + 1 shingles, and the smaller one holds that shingle among its first
+    n - 2 * SIMILARITY / (1 + SIMILARITY) * n + 1. The first shingle that two sets share also bounds how many they can share by what follows it. So a family of texts that share
+    less than that (a template with a body of its own) lists no pairs, however large it is.
+    """
+    t = SIMILARITY
+    grams = sets.select("id", "id_label", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    own = Window.partitionBy("id")
+    shared = grams.join(often, "gram").withColumns({"place": F.row_number().over(own.orderBy("often", "gram")), "shared": F.count(F.lit(1)).over(own)})
+    shared = shared.withColumn("place", F.col("n") - F.col("shared") + F.col("place"))
+    shared = materialize(shared.filter(F.col("place") <= F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 1).select("id", "id_label", "n", "gram", "place"), "rare")
+    small = shared.filter(F.col("place") <= F.col("n") - F.ceil(2 * t / (1 + t) * F.col("n") - 1e-9) + 1)
+    x, y = (rows.select("gram", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "id_label", "n", "place")]) for side, rows in (("x", small), ("y", shared)))
+    order = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_id") < F.col("y_id")))
+    left = 1 + F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
+    possible = (F.col("x_n") >= t * F.col("y_n") - 1e-9) & (left >= t / (1 + t) * (F.col("x_n") + F.col("y_n")) - 1e-9)
+    pairs = x.join(y.withColumnRenamed("gram", "y_gram"), (F.col("gram") == F.col("y_gram")) & order & possible & (F.col("x_id_label") != F.col("y_id_label")))
+    return pairs.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
+
+
+def _sets(ids: DataFrame, rows: DataFrame, keys: DataFrame, words: int) -> DataFrame:
+    """(id, grams) of the fingerprints ``ids``; only their texts are read into sets."""
+    texts = rows.join(keys.join(ids, "id", "left_semi"), "key").select("id", "text")
+    # rows that repeat give a set twice
+    return materialize(texts.mapInArrow(lean(lambda it: shingle_sets_of(it, words)), "id long, grams array<long>"), "shingles").dropDuplicates(["id"])
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, keys: DataFrame, words: int) -> DataFrame:
+    """Those of pairs (a, b) whose shingle sets have a Jaccard similarity of at least ``SIMILARITY``."""
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), rows, keys, words)
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("grams").alias(f"{x}_grams"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    common = F.size(F.array_intersect("a_grams", "b_grams"))
+    return both.filter(common >= SIMILARITY * (F.size("a_grams") + F.size("b_grams") - common)).select("a", "b")
 
 
 def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     """(key, component): classes of near copies, a Jaccard similarity of 0.8 or more of their sets of 5-word shingles.
 
-    ``key`` is the hash of (doc_id, text). Near copies of that kind differ in more than 3 of 64 bits, so the ball hashing runs on sixteen blocks of 28 bits
-    of a 512-bit fingerprint: every block emits its variants within one flip, so pairs with a block at distance 2 or less meet. Short sets also meet at their
-    rare shingles, which misses no pair. Whoever meets is compared with two hubs of the variant (its smallest and largest fingerprint); what more than three
-    at a variant have left in different classes is then compared pair by pair. A link counts if the 512 bits of two long texts are clearly near enough,
-    or else if the shingle sets themselves are. ``component`` is the smallest linked fingerprint's number.
+    ``key`` is the hash of (doc_id, text). Near copies of that kind differ in 77 of 512 bits on average (shingles' cosine is 0.89, so a bit differs with probability acos(0.89) / pi = 0.15),
+    so the ball hashing runs on blocks of 12 bits and each block is keyed by a seed, one of the set's smallest shingle hashes: only texts that share a
+    rare shingle can meet, however many strangers there are. Every fingerprint emits, for each of its rare seeds, the variants of that seed's block within one flip, so pairs whose
+    blocks differ in two bits or fewer meet (0.74 for each of the about nine seeds that near copies share). Whoever meets is compared with two hubs of the variant (its smallest and
+    largest fingerprint); what more than three at a variant have left in different classes meets once more, at the rare ones of all its shingles, which misses no pair. A link counts
+    only if the shingle sets themselves are similar. ``component`` is the smallest linked fingerprint's number. Texts without words (null and empty ones) are one class.
     """
     spark = docs.sparkSession
     lanes = [f"f{k}" for k in range(LANES)]
     rows = id_and_text(docs).withColumn("key", F.xxhash64("doc_id", "text")).select("key", "text")
-    prints = rows.mapInArrow(lean(lambda it: fingerprints_of(it, words, LANES, repeats=False)), "key long, " + ", ".join(f"{f} long" for f in lanes) + ", n long")
-    prints = materialize(prints.withColumn("id", F.xxhash64(*lanes)), "fingerprints")
-    distinct = prints.groupBy("id").agg(*[F.first(f).alias(f) for f in lanes], F.min("n").alias("n"))
-    balls = [_ball(distinct, lanes[: LANES // 2]), _ball(distinct, lanes[LANES // 2 :]), _rare_shingles(distinct, rows, prints, words)]
-    met = []
-    for ball in balls:
-        met.append(materialize(_meetings(ball), "meetings"))
-        release_shuffles(spark)
-    met = met[0].union(met[1]).union(met[2])
+    schema = "key long, " + ", ".join(f"{f} long" for f in lanes) + ", n long, seeds array<long>, blocks array<int>"
+    prints = materialize(rows.mapInArrow(lean(lambda it: seeds_of(it, words)), schema).withColumn("id", F.xxhash64(*lanes, "seeds")), "fingerprints")
+    distinct = materialize(prints.groupBy("id").agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in (*lanes, "n", "seeds", "blocks")]), "distinct")
+    release_shuffles(spark)
+    met = materialize(_meetings(_ball(materialize(_rare_seeds(distinct), "rare"))), "meetings")
+    release_shuffles(spark)
     side = lambda x: distinct.select(F.col("id").alias(x), F.col("n").alias(f"{x}_n"), *[F.col(f).alias(f"{x}_{f}") for f in lanes])
     apart = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in lanes), F.lit(0))
-    short = F.least("a_n", "b_n") <= SHORT
+    keys = distinct.select("id", "key")
 
-    def possible(pairs: DataFrame) -> DataFrame:
-        """(a, b, apart, sure) without pairs that differ too much, in their bits or, if one is short, in the sizes of their sets."""
-        pairs = pairs.join(side("a"), "a").join(side("b"), "b").withColumns({"apart": apart, "short": short})
-        near = F.when(F.col("short"), F.least("a_n", "b_n") >= SIMILARITY * F.greatest("a_n", "b_n") - 1e-9).otherwise(F.col("apart") <= FAR_BITS)
-        pairs = materialize(pairs.filter(near).select("a", "b", "apart", (~F.col("short") & (F.col("apart") <= SURE_BITS)).alias("sure")), "pairs")
+    def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+        out = connected_components(links if labels is None else links.union(labels.select("node", "label")))
         release_shuffles(spark)
-        return pairs
+        return out
 
-    def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-        links = links.select("a", "b")
-        return connected_components(links if labels is None else links.union(labels.select("node", "label")))
-
-    labels = None
-    for crowds in (False, True):
-        pairs = possible(_within_crowds(met, labels) if crowds else _with_hubs(met))
-        if crowds and pairs.isEmpty():
-            break
-        # What links join already needs no look at the shingles, so clear links come first, then each one's nearest doubtful pairs, then the rest.
-        labels = joined(labels, pairs.filter("sure"))
-        doubtful = pairs.filter("not sure").select("a", "b", "apart")
-        for last in (False, False, True):
-            labels = materialize(labels, "labels")
-            release_shuffles(spark)
-            doubtful = _labelled(doubtful, labels, "a", "b").filter("a_label <> b_label")
-            doubtful = materialize(doubtful.select("a", "b", "apart"), "doubtful")
-            now = doubtful
-            if not last:
-                now = materialize(doubtful.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("m")).select("a", "m.b"), "nearest")
-                doubtful = doubtful.join(now, ["a", "b"], "left_anti")
-            labels = joined(labels, _similar(now.select("a", "b"), rows, prints, words))
-        labels = materialize(labels, "labels")
+    # sets whose sizes differ too much cannot be similar
+    pairs = _with_hubs(met).join(side("a"), "a").join(side("b"), "b").filter(F.least("a_n", "b_n") >= SIMILARITY * F.greatest("a_n", "b_n") - 1e-9)
+    pairs = materialize(pairs.select("a", "b", apart.alias("apart")), "pairs")
+    release_shuffles(spark)
+    # what links join already needs no look at the shingles, so each one's nearest pair comes first, then the rest
+    nearest = pairs.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("m")).select("a", "m.b")
+    nearest = materialize(nearest.union(pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("m")).select("m.a", "b")).distinct(), "nearest")
+    labels = joined(None, _similar(nearest, rows, keys, words))
+    rest = _labelled(pairs.join(nearest, ["a", "b"], "left_anti"), labels, "a", "b").filter("a_label <> b_label")
+    labels = joined(labels, _similar(materialize(rest.select("a", "b"), "rest"), rows, keys, words))
+    left = materialize(_left_in_crowds(met, labels), "crowds")
+    release_shuffles(spark)
+    crowded = materialize(_by_rare_shingles(_sets(left.select("id"), rows, keys, words).join(left, "id")), "crowded")
+    release_shuffles(spark)
+    if not crowded.isEmpty():
+        labels = joined(labels, _similar(crowded, rows, keys, words))
     return prints.join(labels, prints.id == labels.node, "left").select("key", F.coalesce("label", "id").alias("component"))
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
-    """``docs`` with one row of each class of near copies: the one with the smallest doc_id (null only if all are), of repeated rows one."""
+    """``docs`` with one row of each class of near copies: the one with the smallest doc_id (null only if all are), of repeated rows one.
+
+    All texts without words (null and empty ones, too) are one class. Any other columns are kept, whatever their names.
+    """
+    own = free_name(docs, "near_key")
     classes = near_copies(docs, words)
-    keyed = docs.withColumn("__near_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    ids = keyed.select(F.col("__near_key").alias("key"), F.col("doc_id").cast("long").alias("doc_id"))
+    keyed = docs.withColumn(own, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    ids = keyed.select(F.col(own).alias("key"), F.col("doc_id").cast("long").alias("doc_id"))
     known = classes.join(ids.distinct(), "key")
     # the smallest (has no id, id, key) of each class; minima are combined before the shuffle
-    first = known.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m")).select(F.col("m.key").alias("__near_key"))
-    return keyed.join(first, "__near_key", "left_semi").dropDuplicates(["__near_key"]).drop("__near_key")
+    first = known.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m")).select(F.col("m.key").alias(own))
+    return keyed.join(first, own, "left_semi").dropDuplicates([own]).drop(own)
 
 
 def hex_fingerprint(fp):
