@@ -23,9 +23,10 @@ def test_pairs_between_the_hubs_of_a_crowd(spark):
     met = spark.createDataFrame([(i, 7, 1, 9, True) for i in (1, 4, 5, 9)], "id long, variant long, low long, high long, crowded boolean")
     none = spark.createDataFrame([], "node long, label long")
     assert (4, 5) not in {tuple(r) for r in simhash._with_hubs(met).collect()}
-    assert {r.id for r in simhash._left_in_crowds(met, none).collect()} == {1, 4, 5, 9}
+    seeds = met.selectExpr("id", "true AS long", "variant AS seed")
+    assert {r.id for r in simhash._left_in_crowds(seeds, none).collect()} == {1, 4, 5, 9}
     same = spark.createDataFrame([(4, 1), (5, 1), (9, 1)], "node long, label long")
-    assert simhash._left_in_crowds(met, same).count() == 0
+    assert simhash._left_in_crowds(seeds, same).count() == 0
     sets = [(1, 1, list(range(100, 200))), (4, 4, list(range(20))), (5, 5, list(range(1, 20))), (9, 9, list(range(60, 80)))]
     left = spark.createDataFrame(sets, "id long, id_label long, grams array<long>")
     assert {tuple(r) for r in simhash._by_rare_shingles(left).collect()} == {(4, 5)}

@@ -227,12 +227,12 @@ def _ball(seeds: DataFrame) -> DataFrame:
 
 
 def _meetings(ball: DataFrame) -> DataFrame:
-    """(id, variant, low, high, crowded) of those who are not alone at a variant: its smallest and largest id, and whether it has more than three.
+    """(id, variant, low, high) of those who are not alone at a variant, with its smallest and largest id.
 
     Counts and ends are combined before the shuffle; a variant that very many rows reach is a skewed key of the join alone, which adaptive execution splits.
     """
-    ends = ball.groupBy("variant").agg(F.min("id").alias("low"), F.max("id").alias("high"), (F.count(F.lit(1)) > 3).alias("crowded")).filter("low <> high")
-    return ball.join(ends.hint("merge"), "variant").select("id", "variant", "low", "high", "crowded")
+    ends = ball.groupBy("variant").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high")
+    return ball.join(ends.hint("merge"), "variant").select("id", "variant", "low", "high")
 
 
 def _with_hubs(met: DataFrame) -> DataFrame:
@@ -248,11 +248,12 @@ def _labelled(df: DataFrame, labels: DataFrame, *ends: str) -> DataFrame:
     return df
 
 
-def _left_in_crowds(met: DataFrame, labels: DataFrame) -> DataFrame:
-    """(id, id_label) of those who meet another class at a crowded variant."""
-    rows = _labelled(met.filter("crowded").select("id", "variant"), labels, "id")
-    apart = rows.groupBy("variant").agg(F.min("id_label").alias("low"), F.max("id_label").alias("high")).filter("low <> high").select("variant")
-    return rows.join(apart, "variant", "left_semi").select("id", "id_label").distinct()
+def _left_in_crowds(seeds: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, id_label) of those who share a seed with another class, where more than three have it; ``seeds`` holds one row for each set and rare seed."""
+    rows = _labelled(seeds.select("id", "long", "seed"), labels, "id")
+    crowds = rows.groupBy("long", "seed").agg(F.count(F.lit(1)).alias("n"), F.min("id_label").alias("low"), F.max("id_label").alias("high"))
+    crowds = crowds.filter("n > 3 and low <> high").select("long", "seed")
+    return rows.join(crowds, ["long", "seed"], "left_semi").select("id", "id_label").distinct()
 
 
 def _by_rare_shingles(sets: DataFrame) -> DataFrame:
@@ -301,7 +302,7 @@ def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     so the ball hashing runs on blocks of 12 bits and each block is keyed by a seed, one of the set's smallest shingle hashes: only texts that share a
     rare shingle can meet, however many strangers there are. Every fingerprint emits, for each of its rare seeds, the variants of that seed's block within one flip, so pairs whose
     blocks differ in two bits or fewer meet (0.74 for each of the about nine seeds that near copies share). Whoever meets is compared with two hubs of the variant (its smallest and
-    largest fingerprint); what more than three at a variant have left in different classes meets once more, at the rare ones of all its shingles, which misses no pair. A link counts
+    largest fingerprint); what more than three at a seed have left in different classes meets once more, at the rare ones of all its shingles, which misses no pair. A link counts
     only if the shingle sets themselves are similar. ``component`` is the smallest linked fingerprint's number. Texts without words (null and empty ones) are one class.
     """
     spark = docs.sparkSession
@@ -311,7 +312,9 @@ def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     prints = materialize(rows.mapInArrow(lean(lambda it: seeds_of(it, words)), schema).withColumn("id", F.xxhash64(*lanes, "seeds")), "fingerprints")
     distinct = materialize(prints.groupBy("id").agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in (*lanes, "n", "seeds", "blocks")]), "distinct")
     release_shuffles(spark)
-    met = materialize(_meetings(_ball(materialize(_rare_seeds(distinct), "rare"))), "meetings")
+    rare = materialize(_rare_seeds(distinct), "rare")
+    release_shuffles(spark)
+    met = materialize(_meetings(_ball(rare)), "meetings")
     release_shuffles(spark)
     side = lambda x: distinct.select(F.col("id").alias(x), F.col("n").alias(f"{x}_n"), *[F.col(f).alias(f"{x}_{f}") for f in lanes])
     apart = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in lanes), F.lit(0))
@@ -332,7 +335,7 @@ def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     labels = joined(None, _similar(nearest, rows, keys, words))
     rest = _labelled(pairs.join(nearest, ["a", "b"], "left_anti"), labels, "a", "b").filter("a_label <> b_label")
     labels = joined(labels, _similar(materialize(rest.select("a", "b"), "rest"), rows, keys, words))
-    left = materialize(_left_in_crowds(met, labels), "crowds")
+    left = materialize(_left_in_crowds(rare, labels), "crowds")
     release_shuffles(spark)
     crowded = materialize(_by_rare_shingles(_sets(left.select("id"), rows, keys, words).join(left, "id")), "crowded")
     release_shuffles(spark)
