@@ -130,7 +130,11 @@ def code_mix_bucket(density: Column) -> Column:
     return let(density, lambda d: F.when(d < 0.15, "hindi_dominant").when(d < 0.40, "balanced").otherwise("dense"))
 
 
-def present(surface: Column, hypothesis: Column, folded: bool = False) -> Column:
-    """Whether a surface stands in a hypothesis, both normalised with their punctuation; an empty one never does."""
+def present_in(surface: Column, normalised: Column, folded: bool = False) -> Column:
+    """Whether a surface stands in a hypothesis that is normalised with its punctuation; an empty one never does."""
     needle = normalise(surface, False, folded)
-    return (needle != "") & F.contains(normalise(hypothesis, False, folded), needle)
+    return (needle != "") & F.contains(normalised, needle)
+
+
+def present(surface: Column, hypothesis: Column, folded: bool = False) -> Column:
+    return present_in(surface, normalise(hypothesis, False, folded), folded)

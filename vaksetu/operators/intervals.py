@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pack import positions
+
 _CLIP = "struct<start_s:double,end_s:double>"
 
 
@@ -78,6 +80,16 @@ def until_total(rows: DataFrame, position: str, value: str, target: float) -> Da
     return running_total(rows, position, value).filter(F.col("before") < target)
 
 
+def skip(rows: DataFrame, position: str, n: int) -> DataFrame:
+    """Rows after the first ``n`` in the order of a column."""
+    return positions(rows, position, "__at").filter(F.col("__at") >= n).drop("__at")
+
+
+def take(rows: DataFrame, position: str, n: int) -> DataFrame:
+    """The first ``n`` rows in the order of a column: each task keeps n at most."""
+    return rows.orderBy(position).limit(n)
+
+
 def not_done(rows: DataFrame, manifest: DataFrame, position: str, parent: str = "parent_row") -> DataFrame:
     """Rows that no manifest line names as its parent."""
     return rows.join(manifest.select(F.col(parent).alias(position)).filter(F.col(position).isNotNull()), position, "left_anti")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let, word_errors
+from .pack import numbered_ranges
 
 
 def above(value: Column, limit: float) -> Column:
@@ -54,9 +55,9 @@ def calibrate_entropy(rows: DataFrame, entropy: str = "entropy", keep: str = "ke
     place = F.greatest(F.lit(0), F.least(F.col("n") - 1, F.rint(F.col("kept") / F.col("n") * F.col("n")).cast("long") - 1))
     target = whole.select("n", "kept", place.alias("place"))
     # running counts by ranges of the value, so that no task holds all values
-    spread = counted.repartitionByRange(F.col(entropy)).sortWithinPartitions(entropy).withColumn("p", F.spark_partition_id())
-    shifts = spread.groupBy("p").agg(F.sum("c").alias("s"), F.min(entropy).alias("least"))
-    shifts = shifts.select("p", F.coalesce(F.sum("s").over(Window.orderBy("least").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"))
+    spread = numbered_ranges(counted, entropy).withColumnRenamed("__p", "p")
+    shifts = spread.groupBy("p").agg(F.sum("c").alias("s"))
+    shifts = shifts.select("p", F.coalesce(F.sum("s").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"))
     inside = spread.withColumn("past", F.sum("c").over(Window.partitionBy("p").orderBy(entropy)))
     ranked = inside.join(F.broadcast(shifts), "p").withColumn("past", F.col("past") + F.col("shift"))
     hit = ranked.join(F.broadcast(target), (F.col("past") > F.col("place")) & (F.col("past") - F.col("c") <= F.col("place")))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions.arrays import pad_features, pad_tokens
+from ..runtime import written
 
 
 def clip_bytes(n_mels: int, n_frames: int, max_tokens: int) -> int:
@@ -31,13 +32,16 @@ def check_shapes(clips: DataFrame, n_mels: int, n_frames: int, max_tokens: int)
     return clips.withColumn("mel", F.when(wrong.isNotNull(), F.raise_error(wrong).cast(clips.schema["mel"].dataType)).otherwise(F.col("mel")))
 
 
-def positions(rows: DataFrame, order: str, name: str = "i") -> DataFrame:
-    """Adds the place of each row in the order of a column, from 0: counts of ranges first, then ranks within each, so no task numbers all rows."""
-    from pyspark.sql import Window
+def numbered_ranges(rows: DataFrame, order: str) -> DataFrame:
+    """Rows in ranges of a column with their range's number (``__p``), written once, so that counts and ranks speak of the same ranges."""
+    return written(rows.repartitionByRange(F.col(order)).withColumn("__p", F.spark_partition_id()), "ranges")
+
 
-    spread = rows.repartitionByRange(F.col(order)).withColumn("__p", F.spark_partition_id())
-    counts = spread.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"), F.min(order).alias("__least"))
-    counts = counts.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__least").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__shift"))
+def positions(rows: DataFrame, order: str, name: str = "i") -> DataFrame:
+    """Adds the place of each row in the order of a column, from 0: counts of ranges first, then ranks within each, so no task numbers all rows. Nulls come first, ties in any order."""
+    spread = numbered_ranges(rows, order)
+    counts = spread.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))  # one row for each range
+    counts = counts.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__shift"))
     inside = Window.partitionBy("__p").orderBy(order)
     return spread.withColumn("__r", F.row_number().over(inside) - 1).join(F.broadcast(counts), "__p").withColumn(name, F.col("__r") + F.col("__shift")).drop("__p", "__r", "__shift")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import char_errors, code_mix_bucket, code_mix_density, present, with_folded, word_errors
+from ..functions.text import char_errors, code_mix_bucket, code_mix_density, normalise, present_in, with_folded, word_errors
 
 METRICS = ("wer", "punctuated_wer", "cer")
 
@@ -55,10 +55,11 @@ ENTITY_TYPES = ("number", "time", "date", "currency", "percent")
 
 def entity_scores(utterances: DataFrame, rollup: bool = True) -> DataFrame:
     """(type, hits, total, accuracy) over columns hypothesis and entities array<struct<type, surface, ...>>; an unknown type raises."""
-    each = with_folded(utterances, {"h": "hypothesis"}).select("h", F.explode("entities").alias("e"))
+    # hypotheses are normalised before their entities part
+    each = with_folded(utterances, {"h": "hypothesis"}).select(normalise(F.col("h"), False, True).alias("h"), "entities").select("h", F.explode("entities").alias("e"))
     each = with_folded(each.select("h", "e", F.col("e.surface").alias("surface")), {"s": "surface"})
     kind = F.when(F.col("e.type").isin(*ENTITY_TYPES), F.col("e.type")).otherwise(F.raise_error(F.concat(F.lit("unknown entity type "), F.coalesce("e.type", F.lit("null")))))
-    hits = each.select(kind.alias("type"), present(F.col("s"), F.col("h"), True).cast("long").alias("hit"))
+    hits = each.select(kind.alias("type"), present_in(F.col("s"), F.col("h"), True).cast("long").alias("hit"))
     grouped = (hits.rollup("type") if rollup else hits.groupBy("type")).agg(F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("total"))
     return grouped.withColumn("accuracy", rate(F.col("hits"), F.col("total")))
 

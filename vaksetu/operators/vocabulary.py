@@ -31,12 +31,25 @@ def id_map(kept: DataFrame) -> DataFrame:
     return positions(kept, "token_id", "new_id").select(F.col("token_id").alias("old_id"), F.col("new_id").cast("long").alias("new_id"))
 
 
+#: Old ids are places in a table of new ones, so they stay below this.
+MOST_IDS = 1 << 22
+
+
 def remap(labels: DataFrame, mapping: DataFrame, key: str, ids: str = "token_ids", pad: int = -100) -> DataFrame:
-    """Labels with their ids replaced (-1 where a token was pruned, padding as it is). The map has at most the vocabulary's rows and is broadcast."""
-    each = labels.select(key, F.posexplode(ids).alias("at", "old_id"))
-    joined = each.join(F.broadcast(mapping), "old_id", "left")
-    new = F.when(F.col("old_id") == pad, F.lit(pad).cast("long")).otherwise(F.coalesce("new_id", F.lit(-1).cast("long")))
-    return joined.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", new.alias("id")))), lambda x: x.id).alias(ids))
+    """(key, ids) of every label row with its ids replaced: -1 where a token was pruned, padding as it is; empty and null arrays stay so.
+
+    The map becomes one array by old id, so nothing is exploded or shuffled; its size is that of the vocabulary, which is checked.
+    """
+    last = mapping.agg(F.max("old_id")).first()[0]
+    last = -1 if last is None else last
+    if last >= MOST_IDS:
+        raise ValueError(f"id {last} lies beyond {MOST_IDS} ids of a vocabulary")
+    every = mapping.sparkSession.range(last + 1).join(mapping, F.col("id") == F.col("old_id"), "left")
+    pairs = F.array_sort(F.collect_list(F.struct("id", F.coalesce("new_id", F.lit(-1)).cast("long").alias("new"))))
+    table = every.agg(F.transform(pairs, lambda p: p["new"]).alias("t")).first()["t"]  # at most MOST_IDS numbers
+    table = F.lit(table) if table else F.array().cast("array<bigint>")
+    at = lambda x: F.when(x == pad, F.lit(pad).cast("long")).otherwise(F.when(x.between(0, last), F.get(table, x.cast("int"))).otherwise(F.lit(-1).cast("long")))
+    return labels.select(key, F.transform(ids, at).alias(ids))
 
 
 def outside_vocabulary(labels: DataFrame, mapping: DataFrame, ids: str = "token_ids", pad: int = -100) -> DataFrame:

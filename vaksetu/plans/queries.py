@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, itn, text
 from ..operators import intervals, labels, pack, profile, quota, schema, scoring, vocabulary, window_cost
-from ..runtime import ship
+from ..runtime import shared_folder, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -531,9 +532,14 @@ def resume_progress(spark, sf):
     return intervals.progress(table(spark, sf, "labels").select(F.col("doc_id").alias("parent_row"), F.col("quality").cast("double").alias("duration_s")))
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id >= 100")
+@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i FROM documents) WHERE i > 100")
 def skip_rows(spark, sf):
-    return table(spark, sf, "documents").filter(F.col("doc_id") >= 100).select("doc_id")
+    return intervals.skip(table(spark, sf, "documents").select("doc_id"), "doc_id", 100)
+
+
+@query("SELECT event_id, user_id FROM events ORDER BY event_id LIMIT 400")
+def take_rows(spark, sf):
+    return intervals.take(table(spark, sf, "events").select("event_id", "user_id"), "event_id", 400)
 
 
 @query("SELECT event_id, printf('ev_hi_%06d_%02d', event_id, event_id % 7) AS clip_id FROM events")
@@ -631,10 +637,11 @@ def vocabulary_map(spark, sf):
     return vocabulary.id_map(_kept(spark, sf))
 
 
-@query(f"WITH {_KEEP_SQL}, ex AS (SELECT doc_id, unnest(ids) AS old_id FROM tk) SELECT doc_id, CAST(sum(coalesce(new_id, -1)) AS BIGINT) AS total, count(*) AS n FROM ex LEFT JOIN mp USING (old_id) GROUP BY doc_id")
+@query(f"""WITH {_KEEP_SQL}, ex AS (SELECT doc_id, unnest(ids) AS old_id FROM tk), sm AS (SELECT doc_id, CAST(sum(coalesce(new_id, -1)) AS BIGINT) AS total, count(*) AS n FROM ex LEFT JOIN mp USING (old_id) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN ids IS NOT NULL THEN coalesce(total, 0) END AS total, CASE WHEN ids IS NOT NULL THEN coalesce(n, 0) END AS n FROM tk LEFT JOIN sm USING (doc_id)""")
 def remap_labels(spark, sf):
     new = vocabulary.remap(_ids(spark, sf), vocabulary.id_map(_kept(spark, sf)), "doc_id")
-    return new.select("doc_id", F.aggregate("token_ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.size("token_ids").cast("long").alias("n"))
+    return new.select("doc_id", F.aggregate("token_ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.when(F.col("token_ids").isNotNull(), F.size("token_ids")).cast("long").alias("n"))
 
 
 @query(f"WITH {_KEEP_SQL} SELECT token_id, cnt FROM ct WHERE token_id NOT IN (SELECT token_id FROM vo)")
@@ -794,9 +801,10 @@ def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def _streamed(pairs: DataFrame, name: str) -> DataFrame:
     from ..streaming.reports import streaming_report as run
 
-    q = run(pairs, "bucket").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return pairs.sparkSession.table(name)
+    spark, name = pairs.sparkSession, f"{name}_{uuid.uuid4().hex}"  # a run of its own, also beside another one
+    sink = run(pairs, "bucket").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_folder(spark)}/{name}")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
 
 
 def _is_dir(spark: SparkSession, path: str) -> bool:

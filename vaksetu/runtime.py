@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -27,3 +28,25 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.join(name, os.path.relpath(full, here)))
     sc.addPyFile(target)
     _shipped.add(sc.applicationId)
+
+
+_local: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which all executors share; a folder of this machine only where that is unset and the master is local (tests)."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _local:
+            _local.append("file://" + tempfile.mkdtemp(prefix="checkpoints-"))
+        where = _local[0]
+    return where.rstrip("/")
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: what follows sees the same rows however often it reads them."""
+    path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
