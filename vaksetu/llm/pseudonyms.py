@@ -9,7 +9,10 @@ pseudonym under a key (documents stay linked), two values never give the same on
 * ``ssn``: US numbers of a valid area, group and serial;
 * ``date``: real days of 1900 to 2099, as 2024-02-29, 29/02/2024, 02/29/2024 (if no day.month date) or 29.02.2024;
 * ``email``: letters and digits of the local part; the domain stays;
-* ``secret``: the value after password, token, secret or key and = or :, and AKIA access keys; hexadecimal ones stay so.
+* ``secret``: the value (8 characters or more, letters, digits and ``_+/.-`` between them) after password, token, secret or API key and = or :, and AKIA access keys; letters and digits of it, and hexadecimal ones stay so.
+
+IPv6 addresses and other kinds of numbers are not looked for. A slash date that reads month first keeps doing so: its day stays within 13 to 28, or is kept
+if it is the 29th or later, so that no other date gets the same pseudonym.
 
 A network works on the positions of a value, even ones against odd ones: each of ``ROUNDS`` rounds adds to every position of one half,
 modulo the number of symbols there, an amount drawn by SHA-256 from the key, the kind and the other half. That is a permutation for any mix of symbol counts,
@@ -30,8 +33,8 @@ DEFAULT_KEY = "set-a-secret-key"
 
 #: Patterns of candidates by kind (Java syntax), in the order in which they are tried.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "secret": r"(?:[Pp]assword|[Tt]oken|[Ss]ecret|[Aa]pi[_-]?[Kk]ey)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9]{8,128}(?![A-Za-z0-9])|AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
+    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}(?![A-Za-z0-9])",
+    "secret": r"(?:[Pp]assword|PASSWORD|[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9][A-Za-z0-9_+/.-]{6,}[A-Za-z0-9](?![A-Za-z0-9])|AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "ip": r"(?:\d{1,3}\.){3}\d{1,3}(?![0-9A-Za-z]|\.\d)",
     "date": r"(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![0-9A-Za-z])",
     "ssn": r"\d{3}-\d{2}-\d{4}(?![0-9A-Za-z])",
@@ -56,8 +59,10 @@ def feistel(values: Column, radices: Column, key: Column | str, kind: str) -> Co
         side = r % 2
         other = F.array_join(F.transform(F.filter(state, lambda _, i: i % 2 != side), lambda x: x.cast("string")), ",")
         seed = F.concat_ws("|", key, F.lit(kind), r.cast("string"), F.size(state).cast("string"), other)
-        amount = lambda i: F.conv(F.substring(F.sha2(F.concat_ws("|", seed, i.cast("string")).cast("binary"), 256), 1, 12), 16, 10).cast("bigint")
-        return F.transform(state, lambda x, i: F.when(i % 2 == side, (x + amount(i)) % F.get(radices, i)).otherwise(x))
+        # a digest has eight amounts of eight hexadecimal digits, so it serves the half of sixteen positions
+        draws = F.transform(F.sequence(F.lit(0), F.shiftright(F.size(state), 4)), lambda n: F.sha2(F.concat_ws("|", seed, n.cast("string")).cast("binary"), 256))
+        amount = lambda d, i: F.conv(F.substring(F.get(d, F.shiftright(i, 4)), 8 * F.shiftright(i % 16, 1) + 1, F.lit(8)), 16, 10).cast("bigint")
+        return F.get(F.transform(F.array(draws), lambda d: F.transform(state, lambda x, i: F.when(i % 2 == side, (x + amount(d, i)) % F.get(radices, i)).otherwise(x))), 0)
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), values.cast("array<bigint>"), one_round)
 
@@ -88,6 +93,9 @@ def _letters(s: Column, key, kind: str) -> Column:
     return F.array_join(back, "")
 
 
+_HEX = "^[0-9a-f]+$"
+
+
 def _hexadecimal(s: Column, key, kind: str) -> Column:
     values = F.transform(_chars(s), lambda c: F.conv(c, 16, 10).cast("bigint"))
     moved = feistel(values, F.transform(values, lambda _: F.lit(16).cast("bigint")), key, kind)
@@ -157,10 +165,33 @@ def date_valid(s: Column) -> Column:
     return F.coalesce(_in_range(F.coalesce(*[_date_as(s, p, f) for p, f in _FORMATS])), F.lit(False))
 
 
+def _month_first(s: Column, key) -> Column:
+    """A month-first date (day 13 or later) as another one: no day-first date and no other day of 29 or later takes its place."""
+    long = lambda *xs: F.array(*[F.lit(x).cast("bigint") for x in xs])
+    at = lambda p, n: s.substr(p, n).cast("bigint")
+    m, d, y = at(1, 2), at(4, 2), at(7, 4) - 1900
+    put = lambda m, d, y: F.concat_ws("/", F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0"), (y + 1900).cast("string"))
+
+    def among(months: list[int], kind: str) -> Column:
+        place = (F.array_position(F.array(*[F.lit(x) for x in months]), m.cast("int")) - 1).cast("bigint")
+        q = feistel(F.array(place, y), long(len(months), 200), key, kind)
+        return F.get(F.transform(F.array(q), lambda q: put(F.get(F.array(*[F.lit(x) for x in months]), F.get(q, 0).cast("int")), d, F.get(q, 1))), 0)
+
+    common = feistel(F.array(m - 1, d - 13, y), long(12, 16, 200), key, "date-md")
+    leap = F.floor((y - 4) / 4).cast("bigint")  # 29 February of 1904 to 2096: 7 * 7 years
+    leaped = feistel(F.array(F.floor(leap / 7).cast("bigint"), leap % 7), long(7, 7), key, "date-md-leap")
+    return (
+        F.when(d <= 28, F.get(F.transform(F.array(common), lambda q: put(F.get(q, 0) + 1, F.get(q, 1) + 13, F.get(q, 2))), 0))
+        .when((d == 29) & (m == 2), F.get(F.transform(F.array(leaped), lambda q: put(m, d, (F.get(q, 0) * 7 + F.get(q, 1)) * 4 + 4)), 0))
+        .when(d == 31, among([1, 3, 5, 7, 8, 10, 12], "date-md-31"))
+        .otherwise(among([1, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12], "date-md-29"))
+    )
+
+
 def _date(s: Column, key) -> Column:
-    out = s
+    out = _month_first(s, key)
     origin = F.lit("1900-01-01").cast("date")
-    for p, f in reversed(_FORMATS):
+    for p, f in reversed(_FORMATS[:-1]):
         day = _date_as(s, p, f)
         n = F.datediff(day, origin).cast("bigint")
         q = feistel(F.array((n / 4297).cast("bigint"), n % 4297), F.array(F.lit(17).cast("bigint"), F.lit(4297).cast("bigint")), key, "date")
@@ -191,7 +222,10 @@ def phone_valid(s: Column) -> Column:
 def _secret(s: Column, key) -> Column:
     mark = r"^(AKIA|[A-Za-z_-]+\s*[=:]\s*[\"']?)"
     head, value = F.regexp_extract(s, mark, 1), F.regexp_replace(s, mark, "")
-    return F.concat(head, F.when(value.rlike("^[0-9a-f]+$"), _hexadecimal(value, key, "secret")).otherwise(_letters(value, key, "secret")))
+    # another value that becomes hexadecimal is permuted again until it is not, so that the two sets stay apart (each step is enough with a probability of 0.77 or more)
+    again = lambda v, _: F.when(v.rlike(_HEX), _letters(v, key, "secret")).otherwise(v)
+    other = F.aggregate(F.sequence(F.lit(1), F.lit(64)), _letters(value, key, "secret"), again)
+    return F.concat(head, F.when(value.rlike(_HEX), _hexadecimal(value, key, "secret")).otherwise(other))
 
 
 def _email(s: Column, key) -> Column:
@@ -218,14 +252,16 @@ def pseudonym(s: Column, kind: Column, key: str = DEFAULT_KEY) -> Column:
     return out
 
 
+#: What every match of the patterns has: two digits (single ones with a mark between), @, AKIA or the beginning of a value. Texts without it have no match.
+SCREEN = r"[0-9][ .-]?[0-9]|@|AKIA|[=:]\s{0,3}[\"']?[A-Za-z0-9][A-Za-z0-9_+/.-]{6}"
+
+
 def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, column: str = "text", found: str = "found") -> DataFrame:
     """``docs`` with ``column`` pseudonymised and a new (or replaced) column ``found``: array of (kind, value as it now stands)."""
     t = F.col(f"`{column}`")
     own = "__pseudonym_" + "_".join(sorted(docs.columns))[:40]  # clashes with no column
     hits = F.transform(F.regexp_extract_all(t, F.lit(_ANY), F.lit(0)), lambda m: F.struct(m.alias("was"), kind_of(m).alias("kind")))
-    # most texts have nothing that any of the patterns needs: two digits (single ones with a mark between), @, AKIA or a value
-    some = t.rlike(r"[0-9][ .-]?[0-9]|@|AKIA|[=:]\s{0,3}[\"']?[A-Za-z0-9]{8}")
-    rows = docs.withColumn(own, F.when(some, hits))
+    rows = docs.withColumn(own, F.when(t.rlike(SCREEN), hits))
     new = F.transform(F.col(own), lambda h: F.struct(h.kind.alias("kind"), pseudonym(h.was, h.kind, key).alias("value")))
     rows = rows.withColumn(own, new)
     pieces = F.split(t, _ANY, -1)
