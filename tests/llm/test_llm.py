@@ -291,6 +291,18 @@ def test_transducer(library):
         assert bpe_stream.decode(coder.m, want, step=3) == lib.decode(want, skip_special_tokens=False)
 
 
+def test_open_pre_tokens_are_handed_over(library):
+    """A pre-token of any class that goes on for long is emitted while it is open, and ends where the rule ends it."""
+    coder, lib, rng = bpe_stream.encoder(), library[tokens.BYTE_BPE], random.Random(8)
+    runs = ["".join(rng.choice("abcdefghijklmnop") for _ in range(30_000)), "7" * 20_000, "-'" * 9_000, " " * 20_000, "\n" * 15_000, "日本é" * 6_000]
+    for a in runs:
+        for b in ("", "x 's", "'s don't", "\n y", "<|endoftext|>z", "1!"):
+            t = f"it {a}{b}"
+            parts = list(coder.stream(t[i : i + 1000] for i in range(0, len(t), 1000)))
+            assert [i for p in parts for i in p] == lib.encode(t, add_special_tokens=False).ids
+            assert len(parts) > 5
+
+
 def test_transducer_holds_a_bounded_window():
     m = bpe_stream.encoder().m
     t = bpe_stream.Transducer(m)

@@ -2,11 +2,16 @@
 
 Encoding by a merge list is the same as choosing tokens from left to right such that each two neighbours are what the merges make of their joint
 bytes. The transducer takes the longest token at the frontier that agrees with the one before it, tries shorter ones otherwise, and steps back where none
-agrees. A step back never passes tokens that end more than the *sufficient lookahead* before the frontier: what later bytes change travels left only over merges
-that use the symbol taken away as their right part and come later in the list, so its reach is the longest such chain of the merge list, in
-bytes. Tokens that old are stable and are emitted; only the bytes after them are held, so memory does not grow with the text.
+agrees. So its tokens are always the encoding of the bytes up to the frontier, and those that no later byte can change are emitted.
 
-Texts are cut by the tokenizer's pre-token rule as they stream; a pre-token that is still open is handed to the transducer piece by piece.
+The *sufficient lookahead* is how far from the end of some bytes their encoding can depend on what follows. Take two texts that begin with the same bytes and run the merges in
+the order of their ranks (each token is made by one merge, whose rank is above those of its parts, so this is the encoding). Let f be the last place before
+the leftmost difference where both have a boundary, and t a token that begins at f in one of them. At first, t ends beyond or at the end of the common
+bytes, so f lies at most length(t) before it. Later, f moves left only if a token s that ends at f is merged with such a t, in one of the two texts only; then the tokens at the new f
+are s in one and st in the other, and f has moved by length(s). Otherwise t may grow to the right and f stays. Ranks go up all the time. So with D[t] = length(t) at the start, and for each merge
+(a, b) to m in the order of ranks, D[a] and D[m] raised to D[b] + length(a) and D[m] to D[a], no difference ever lies further than the largest D from the end of the common bytes.
+
+Texts are cut by the tokenizer's pre-token rule as they stream, ``CHUNK`` characters at a time; a pre-token that is still open after ``_OPEN`` characters is handed to the transducer piece by piece.
 Ids of pre-tokens that were met before are kept (at most ``KEPT``).
 
 Null text counts as empty and gives no ids. Lone surrogates cannot occur in a Spark string. Repeated rows give repeated results; extra columns are left out; an empty table gives an empty
@@ -59,15 +64,15 @@ class Merges:
         self._shorter: dict[int, int] = {}
 
     def _sufficient_lookahead(self) -> int:
-        """Bytes of the longest chain of merges, each with the left part of the one before as its right part and a later rank, and one token more."""
-        reach: dict[int, int] = {}  # by the left part of the last merge of a chain
-        most = 0
+        """The largest D of the module's argument, in bytes."""
+        if len(set(self.made.values())) < len(self.made):
+            raise ValueError("a token is made by two merges, so ranks do not order the merges")
+        far = {t: len(raw) for t, raw in self.bytes_of.items()}
         for (a, b), made in self.made.items():  # in the order of ranks
-            chain = reach.get(b, 0) + len(self.bytes_of[made])
-            most = max(most, chain)
-            if chain > reach.get(a, 0):
-                reach[a] = chain
-        return most + self.longest
+            moved = far[b] + len(self.bytes_of[a])
+            far[made] = max(far[made], far[a], moved)
+            far[a] = max(far[a], moved)
+        return max(far.values(), default=0)
 
     def by_merges(self, raw: bytes) -> list[int]:
         """The plain definition: apply the merge of least rank (leftmost first) until none applies."""
@@ -172,8 +177,10 @@ class Transducer:
         return out
 
 
-#: Characters of an open pre-token after which it is handed over in part.
-_OPEN = 4096
+#: Characters of a text that the query hands over at a time, and those of an open pre-token after which it is handed to the transducer in part.
+CHUNK, _OPEN = 1 << 16, 4096
+#: A character of each class of pre-tokens, as a witness of one that goes on: letters, digits, white space, others.
+_WITNESSES = "a1\n!"
 
 
 class Encoder:
@@ -183,6 +190,8 @@ class Encoder:
         self.t = Transducer(merges)
         self.m, self.splitter = merges, splitter
         self.kept: dict[str, bytes] = {}
+        #: What must follow a piece to settle it: the longest contraction, or a special token's beginning.
+        self.room = max(map(len, merges.special), default=1) + 4
 
     def word(self, piece: str) -> bytes:
         got = self.kept.get(piece)
@@ -207,44 +216,83 @@ class Encoder:
             return _BYTE_CUT.findall(text)
         return [text[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(text)]
 
-    def _plain(self, text: str) -> bytes:
-        kept, word = self.kept, self.word
-        return b"".join([kept[p] if p in kept else word(p) for p in self.pieces(text)])
+    def _joined(self, pieces: list[str]) -> bytes:
+        parts = list(map(self.kept.get, pieces))
+        if None in parts:
+            parts = [self.word(p) if ids is None else ids for p, ids in zip(pieces, parts, strict=True)]
+        return b"".join(parts)
 
     def ids(self, text: str) -> bytes:
         """Ids of a whole text as 16-bit little-endian bytes."""
-        for special, number in self.m.special.items():
-            if special in text:
-                return np.array([number], "<u2").tobytes().join(self._plain(x) for x in text.split(special))
-        return self._plain(text)
+        return b"".join(self.packed([text]))
+
+    def _goes_on(self, witness: str, text: str) -> int:
+        """Characters at the beginning of ``text`` that belong to an open pre-token of the witness's class."""
+        pieces = self.pieces(witness + text)
+        return len(pieces[0]) - 1 if pieces else 0
 
     def stream(self, chunks: Iterable[str]) -> Iterator[list[int]]:
-        """Ids as they become stable; only the open pre-token (or a part of it) and a special token's length are held."""
-        held, opened = "", False
-        room = max(map(len, self.m.special), default=1) + 4
-        for chunk in chunks:
+        """Ids as they become stable."""
+        for part in self.packed(chunks):
+            yield np.frombuffer(part, "<u2").tolist()
+
+    def packed(self, chunks: Iterable[str]) -> Iterator[bytes]:
+        """The same as 16-bit little-endian bytes.
+
+        Held are at most a chunk, ``_OPEN`` characters and, in the transducer, the sufficient lookahead.
+        """
+        held, witness = "", ""  # witness: the class of a pre-token that is partly handed over
+        for chunk, last in _with_last(chunks):
             held += chunk
-            out: list[int] = []
-            while not opened and len(held) > room:
-                found = [(held.find(s), s) for s in self.m.special if s in held]
-                if found:
-                    at, special = min(found)
-                    out += [*np.frombuffer(self._plain(held[:at]), "<u2").tolist(), self.m.special[special]]
-                    held = held[at + len(special) :]
-                    continue
-                done = 0
-                for piece in self.pieces(held)[:-1]:
-                    # what ends this close to the edge may still change with what comes
-                    if done + len(piece) > len(held) - room:
-                        break
-                    out += np.frombuffer(self.word(piece), "<u2").tolist()
-                    done += len(piece)
-                held = held[done:]
-                break
-            if out:
-                yield out
-        if held:
-            yield np.frombuffer(self.ids(held), "<u2").tolist()
+            while True:
+                found = [(at, s) for s in self.m.special if (at := held.find(s)) >= 0]
+                at, special = min(found) if found else (len(held), "")
+                head, settled = held[:at], bool(special) or last
+                taken, witness, out = self._some(head, settled, witness)
+                if out:
+                    yield out
+                if not special:
+                    held = held[taken:]
+                    break
+                yield self.m.special[special].to_bytes(2, "little")
+                held = held[at + len(special) :]
+
+    def _some(self, text: str, settled: bool, witness: str) -> tuple[int, str, bytes]:
+        """(characters taken, witness, ids) of the beginning of a text; all of it if nothing that follows can change its pre-tokens."""
+        out, taken = b"", 0
+        edge = len(text) if settled else len(text) - self.room
+        if witness:
+            n = self._goes_on(witness, text) if text else 0
+            if n >= len(text) and not settled:  # still open
+                n = max(0, edge)
+                return n, witness, np.array(self.t.feed(text[:n].encode()), "<u2").tobytes()
+            if n > edge:
+                return 0, witness, b""
+            out = np.array(self.t.feed(text[:n].encode()) + self.t.finish(), "<u2").tobytes()
+            taken, witness = n, ""
+        pieces = self.pieces(text[taken:]) if taken else self.pieces(text)
+        if settled:
+            return len(text), "", out + self._joined(pieces)
+        done, k = taken, 0
+        while k + 1 < len(pieces) and done + len(pieces[k]) <= edge:
+            done += len(pieces[k])
+            k += 1
+        out += self._joined(pieces[:k])
+        if k + 1 == len(pieces) and len(pieces[k]) > _OPEN + self.room:  # the open one
+            part = pieces[k][: -self.room]
+            end = part[-1]
+            witness = next(w for w in _WITNESSES if len(self.pieces(w + end + "\n" * (w == "\n"))[0]) > 1)
+            return done + len(part), witness, out + np.array(self.t.feed(part.encode()), "<u2").tobytes()
+        return done, "", out
+
+
+def _with_last(chunks: Iterable[str]) -> Iterator[tuple[str, bool]]:
+    it = iter(chunks)
+    now = next(it, "")
+    for then in it:
+        yield now, False
+        now = then
+    yield now, True
 
 
 class TextMachine:
@@ -293,17 +341,24 @@ def encode_and_decode(docs: DataFrame, vocabulary: str = BYTE_BPE) -> DataFrame:
 
 
 def digests(docs: DataFrame, vocabulary: str = BYTE_BPE) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, without moving ids and texts back."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, without moving ids and texts back; each text passes through the transducer and the decoder in parts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary)
+        bytes_of = coder.m.bytes_of.__getitem__
         for batch in sliced(batches, "text"):
             n, ids_sha, text_sha = [], [], []
             for t in batch.column(1).to_pylist():
-                ids = np.frombuffer(coder.ids(t), "<u2")
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                text_sha.append(hashlib.sha256(decode(coder.m, ids.tolist()).encode()).hexdigest())
+                count, of_ids, of_text, machine = 0, hashlib.sha256(), hashlib.sha256(), TextMachine()
+                for part in coder.packed(t[i : i + CHUNK] for i in range(0, len(t) or 1, CHUNK)):
+                    ids = np.frombuffer(part, "<u2")
+                    count += len(ids)
+                    of_ids.update(ids.astype("<u4").tobytes())
+                    of_text.update(machine.feed(b"".join(map(bytes_of, ids.tolist()))).encode())
+                of_text.update(machine.finish().encode())
+                n.append(count)
+                ids_sha.append(of_ids.hexdigest())
+                text_sha.append(of_text.hexdigest())
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
