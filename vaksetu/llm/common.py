@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import sys
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -15,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import shared_folder, ship
 
 #: Bytes of text that a numpy step handles at once; a single longer text is handled alone.
 CHUNK_BYTES = 2 << 20
@@ -25,17 +24,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _WORD_BASE = 0xD6E8FEB86659FD93 | 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where it is unset (tests, one machine)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

@@ -6,9 +6,11 @@ block meets each block of queries; in it, a query goes on only while ``|query| *
 partial sums over the first rotated coordinates plus the product of the residual lengths rule out most candidates, and the rest are scored exactly in
 integers. Every query starts with a lower bound, its k-th best score within one sample block of the longest vectors, so later blocks prune at once.
 
-Queries and candidates are both dealt in blocks of bounded size; nothing that grows with the data is broadcast or collected. Each meeting gives at
+Lanes of candidates follow the norms, too, and a block of queries is sent only to lanes whose longest vector can reach the lowest of its floors. Queries
+and candidates are both dealt in blocks of bounded size; nothing that grows with the data is broadcast or collected. Each meeting gives at
 most k rows for each query, and these are merged by k-best aggregation.
 
+Scores are exact 64-bit integers: vectors so long that a product could leave that range (a length of about 3e9, components of about 3e6) are refused with a ValueError.
 Rows whose vector is null or holds a null or non-finite component take no part; neither do rows with a null id. Vectors of unequal lengths
 are compared over the components that both have (the shorter one counts as filled up with zeros). Rows that share an id are candidates
 of their own and ask together: their query_id gets the k best of all that they found; a query's own id is never its candidate. Ties go to the smaller vec_id. Extra columns are left out; an empty table gives an empty result.
@@ -132,6 +134,26 @@ def _open(ids: bytes, v: bytes, dims: int, dim: int) -> tuple[np.ndarray, np.nda
     return got, out
 
 
+def _with_floors(queries: DataFrame, longest, axes, dim: int, k: int) -> DataFrame:
+    """Blocks of queries with ``q_floors``, each query's k-th best score among the longest vectors, and ``q_least``, the lowest of them (minus infinity where there are fewer)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = np.array(longest.value[0], np.int64)
+        v = np.zeros((len(ids), dim), np.int64)
+        for i, x in enumerate(longest.value[1]):
+            v[i, : len(x)] = x
+        for b in batches:
+            floors = []
+            for r in b.select(["q_ids", "q_v", "q_dims"]).to_pylist():
+                q_id, q = _open(r["q_ids"], r["q_v"], r["q_dims"], dim)
+                found = best(q, q_id, np.full(len(q), -np.inf), v, ids, axes.value, k)
+                floors.append(np.array([s[-1] if len(s) == k else -np.inf for _, _, s in found]))
+            more = [pa.array([x.astype("<f8").tobytes() for x in floors], pa.binary()), pa.array([float(x.min()) for x in floors], pa.float64())]
+            yield pa.record_batch([*b.columns, *more], names=[*b.schema.names, "q_floors", "q_least"])
+
+    return queries.mapInArrow(run, "q_ids binary, q_v binary, q_dims int, q_top double, q_floors binary, q_least double")
+
+
 def _in_small_batches(met: DataFrame) -> DataFrame:
     """Runs ``met`` with a few pairs of blocks (about a megabyte each) in an Arrow batch, and writes its rows to the shared folder."""
     spark, name = met.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -148,35 +170,31 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE) -> DataF
     spark = vectors.sparkSession
     ship(spark)
     rows = materialize(usable(vectors, scale), "vectors")
-    dim = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    most = rows.agg(F.max(F.size("v")).alias("dim"), F.max("norm").alias("norm"), F.count(F.lit(1)).alias("n")).first()
+    dim = most.dim or 0
     out = "query_id long, vec_id long, score long"
     if not dim:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    if most.norm**2 >= float(1 << 63):
+        raise ValueError(f"inner products of vectors as long as {most.norm:.3g} leave the range of 64-bit integers")
     axes = spark.sparkContext.broadcast(rotation(rows, dim))  # dim * dim numbers
     # the longest vectors, one block: each query's k-th best among them is a floor for all blocks
     longest = spark.sparkContext.broadcast(tuple(zip(*[(r.vec_id, r.v) for r in rows.orderBy(F.desc("norm"), "vec_id").limit(min(1024, VECTORS)).collect()], strict=True)))
-    candidates = materialize(_blocks(rows.repartitionByRange(F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id"), VECTORS, "c"), "candidates")
-    queries = materialize(_blocks(rows.filter(is_query), QUERIES, "q"), "queries")
-    # a query block goes to every candidate block: a stated query set against all rows, in blocks
-    groups = max(16, rows.count() // (4 * VECTORS))
-    dealt = candidates.withColumn("lane", F.pmod(F.xxhash64("c_ids"), F.lit(groups)))
-    sent = queries.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    groups = max(16, most.n // (4 * VECTORS))
+    ranged = rows.repartitionByRange(groups, F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id")
+    dealt = materialize(_blocks(ranged, VECTORS, "c").withColumn("lane", F.spark_partition_id()), "candidates")
+    queries = materialize(_with_floors(_blocks(rows.filter(is_query), QUERIES, "q"), longest, axes, dim, k), "queries")
+    # a query block goes to every lane that it may find something in: a stated query set against all rows, in blocks
+    tops = {r.lane: r.top for r in dealt.groupBy("lane").agg(F.max("c_top").alias("top")).collect()}  # one number for each lane
+    lanes = F.lit([float(tops.get(i, -1.0)) for i in range(max(tops) + 1)])
+    reached = F.filter(F.transform(lanes, lambda top, i: F.when((top >= 0) & (F.col("q_top") * top * (1 + 1e-9) + 1 >= F.col("q_least")), i)), lambda i: i.isNotNull())
+    sent = queries.withColumn("lane", F.explode(reached))
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top_ids = np.array(longest.value[0], np.int64)
-        top_v = np.zeros((len(top_ids), dim), np.int64)
-        for i, x in enumerate(longest.value[1]):
-            top_v[i, : len(x)] = x
-        floors: dict[bytes, np.ndarray] = {}
         for b in batches:
             for r in b.to_pylist():
                 q_id, q = _open(r["q_ids"], r["q_v"], r["q_dims"], dim)
-                if r["q_ids"] not in floors:
-                    found = best(q, q_id, np.full(len(q), -np.inf), top_v, top_ids, axes.value, k)
-                    if len(floors) > 8:
-                        floors.clear()
-                    floors[r["q_ids"]] = np.array([s[-1] if len(s) == k else -np.inf for _, _, s in found])
-                floor = floors[r["q_ids"]]
+                floor = np.frombuffer(r["q_floors"], "<f8")
                 v_id, v = _open(r["c_ids"], r["c_v"], r["c_dims"], dim)
                 qs, ids, scores = [], [], []
                 for i, got, s in best(q, q_id, floor, v, v_id, axes.value, k):
@@ -186,7 +204,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE) -> DataF
                 if qs:
                     yield pa.record_batch([pa.array(np.concatenate(x)) for x in (qs, ids, scores)], names=["query_id", "vec_id", "score"])
 
-    met = dealt.repartition(groups, "lane").join(sent.repartition(groups, "lane"), "lane").select("q_ids", "q_v", "q_dims", "c_ids", "c_v", "c_dims").mapInArrow(meet, out)
+    met = dealt.repartition(groups, "lane").join(sent.repartition(groups, "lane"), "lane").select("q_ids", "q_v", "q_dims", "q_floors", "c_ids", "c_v", "c_dims").mapInArrow(meet, out)
     met = _in_small_batches(met)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import (
     column_bytes,
+    free_name,
     gram_hashes,
     id_and_text,
     lean,
@@ -243,13 +244,14 @@ def deduplicate_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def without_duplicates(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs``, all its columns, with text as :func:`deduplicate_substrings` leaves it; null text stays null."""
-    keyed = docs.withColumn("__rlz_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    """``docs``, all its columns, with text as :func:`deduplicate_substrings` leaves it; null text stays null. Helper columns take names that ``docs`` does not have."""
+    own_key, own_marks = free_name(docs, "rlz_key"), free_name(docs, "rlz_marks")
+    keyed = docs.withColumn(own_key, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
     rows = id_and_text(docs).withColumn("key", F.xxhash64("doc_id", "text"))
     marks = materialize(find_marks(rows.select("key", "text"), window), "marks")
     release_shuffles(docs.sparkSession)
-    own = marks.groupBy(F.col("key").alias("__rlz_key")).agg(F.collect_set(F.struct("start", "mask", "ref_key", "ref_start")).alias("__rlz_marks"))
-    joined = keyed.join(own.hint("shuffle_hash"), "__rlz_key", "left").drop("__rlz_key")
+    own = marks.groupBy(F.col("key").alias(own_key)).agg(F.collect_set(F.struct("start", "mask", "ref_key", "ref_start")).alias(own_marks))
+    joined = keyed.join(own.hint("shuffle_hash"), own_key, "left").drop(own_key)
     names = docs.columns
     at = names.index("text")
 
