@@ -12,7 +12,7 @@ are s in one and st in the other, and f has moved by length(s). Otherwise t may
 (a, b) to m in the order of ranks, D[a] and D[m] raised to D[b] + length(a) and D[m] to D[a], no difference ever lies further than the largest D from the end of the common bytes.
 
 Texts are cut by the tokenizer's pre-token rule as they stream, ``CHUNK`` characters at a time; a pre-token that is still open after ``_OPEN`` characters is handed to the transducer piece by piece.
-Ids of pre-tokens that were met before are kept (at most ``KEPT``).
+Ids of short pre-tokens that were met before are kept (at most ``KEPT``).
 
 Null text counts as empty and gives no ids. Lone surrogates cannot occur in a Spark string. Repeated rows give repeated results; extra columns are left out; an empty table gives an empty
 result.
@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 from .common import id_and_text, sliced
 from .tokens import _BYTE_CUT, _OTHER, BYTE_BPE, byte_letters, vocabulary_path
 
-#: Pre-tokens and pairs that are kept.
-KEPT = 400_000
+#: Pre-tokens (of up to ``SHORT`` characters) and pairs of tokens that are kept.
+KEPT, PAIRS, SHORT = 1_000_000, 400_000, 32
 
 
 class Merges:
@@ -89,7 +89,7 @@ class Merges:
         key = a << 20 | b
         got = self._agree.get(key)
         if got is None:
-            if len(self._agree) > KEPT:
+            if len(self._agree) > PAIRS:
                 self._agree.clear()
             got = self._agree[key] = self.by_merges(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return got
@@ -198,7 +198,7 @@ class Encoder:
         if got is None:
             ids = self.t.feed(piece.encode()) + self.t.finish() if len(piece) <= _OPEN else self._long(piece)
             got = np.array(ids, "<u2").tobytes()
-            if len(piece) > 64:
+            if len(piece) > SHORT:
                 return got
             if len(self.kept) >= KEPT:
                 self.kept.clear()
