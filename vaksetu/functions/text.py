@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import LongType, StringType
 
 #: Texts for which the JVM's own functions give NFKC and case folding exactly.
 _PLAIN = r"^[\t-\r -~¡-§©«-®°±¶·»¿-ÿऀ-ऻऽ-ॗॠ-ॿ]*$"
@@ -76,6 +77,56 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+#: Tables of distances with more cells than this are computed by :func:`distance_in_bits`.
+MOST_CELLS = 1 << 20
+
+
+def distance_in_bits(a, b) -> int:
+    """Unit-cost edit distance of two sequences, exact: a column of the table is two bit vectors, which are whole numbers of any length here (Myers 1999, Hyyro 2003).
+
+    A step costs one pass over the bits of the longer sequence, so two of n items take n * n / 30 digit steps and memory in proportion to n for each distinct item of the shorter.
+    """
+    short, long = sorted((a, b), key=len)
+    m = len(long)
+    if not len(short):
+        return m
+    wanted, places = set(short), {}
+    for i, x in enumerate(long):
+        if x in wanted:
+            places.setdefault(x, []).append(i)
+    at = {}
+    for x, where in places.items():
+        bits = np.zeros(m, np.uint8)
+        bits[where] = 1
+        at[x] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    every, last = (1 << m) - 1, m - 1
+    up, down, score = every, 0, m  # vertical steps of +1 and of -1
+    for x in short:
+        same = at.get(x, 0)
+        diagonal = (((same & up) + up) ^ up) | same
+        plus = down | (every ^ ((diagonal | up) & every))
+        minus = up & diagonal
+        score += (plus >> last) - (minus >> last)
+        plus = (plus << 1 | 1) & every
+        side = same | down
+        up = (minus << 1) & every | (every ^ (side | plus))
+        down = plus & side
+    return score
+
+
+def _distances(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else distance_in_bits(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
+
+
+_far = F.pandas_udf(_distances, LongType())
+
+
+def _distance(a: Column, b: Column, size, near) -> Column:
+    """``near`` of both in the JVM if their table is small, as it is for utterances; the others leave for Python, where these are nulls."""
+    far = size(a).cast("long") * size(b) > MOST_CELLS
+    return F.coalesce(let(F.struct(a.alias("a"), b.alias("b")), lambda p: F.when(size(p.a).cast("long") * size(p.b) <= MOST_CELLS, near(p.a, p.b))), _far(F.when(far, a), F.when(far, b)))
+
+
 def edit_distance(a: Column, b: Column) -> Column:
     """Unit-cost edit distance of two arrays: each distinct item becomes one character and the JVM's levenshtein does the rest."""
 
@@ -104,13 +155,13 @@ def _edit_distance_rows(a: Column, b: Column) -> Column:
 def word_errors(reference: Column, hypothesis: Column, punctuated: bool = False, folded: bool = False) -> Column:
     """struct(errors, length) over words."""
     ref, hyp = (tokens(normalise(x, not punctuated, folded)) for x in (reference, hypothesis))
-    return let(F.struct(ref.alias("r"), hyp.alias("h")), lambda p: F.struct(edit_distance(p.r, p.h).alias("errors"), F.size(p.r).cast("long").alias("length")))
+    return F.struct(_distance(ref, hyp, F.size, edit_distance).alias("errors"), F.size(ref).cast("long").alias("length"))
 
 
 def char_errors(reference: Column, hypothesis: Column, folded: bool = False) -> Column:
     """struct(errors, length) over characters without spaces."""
     ref, hyp = (F.replace(normalise(x, True, folded), F.lit(" "), F.lit("")) for x in (reference, hypothesis))
-    return F.struct(F.levenshtein(ref, hyp).cast("long").alias("errors"), F.char_length(ref).cast("long").alias("length"))
+    return F.struct(_distance(ref, hyp, F.char_length, lambda a, b: F.levenshtein(a, b).cast("long")).alias("errors"), F.char_length(ref).cast("long").alias("length"))
 
 
 def code_mix_density(text: Column, markers: list[str] | None = None, folded: Column | None = None) -> Column:

@@ -47,63 +47,61 @@ def w_(x: str) -> str:
     return f"list_filter(string_split({x}, ' '), lambda t: t <> '')"
 
 
-def d_(a: str, b: str) -> str:
-    """Edit distance of two short lists: a byte for each distinct item, then levenshtein."""
-    code = lambda x: f"array_to_string(list_transform({x}, lambda t: chr(CAST(34 + list_position(v, t) AS INTEGER))), '')"
-    return f"levenshtein({code(a)}, {code(b)})"
+#: A letter that no document has.
+FRESH = "\u046b"
 
-
-#: Pairs: a document's first 32 tokens, and the same with some left out by place.
-PAIRS_SQL = r"""
+#: Pairs: all tokens of a document, and the same with some left out and the letters of some others replaced by ``FRESH``, by place.
+#: A token with a fresh letter matches nothing, so at least (reference - hypothesis + fresh) edits are needed, and so many suffice: SQL counts them without a table of distances.
+PAIRS_SQL = rf"""
 p AS (
-    SELECT doc_id, lang AS bucket, list_filter(string_split_regex(text, '\s+'), lambda t: t <> '')[1:32] AS toks FROM documents
+    SELECT doc_id, lang AS bucket, list_filter(string_split_regex(text, '\s+'), lambda t: t <> '') AS toks FROM documents
 ), q AS (
-    SELECT doc_id, bucket, array_to_string(toks, ' ') AS reference, array_to_string(list_filter(toks, lambda t, i: (i + doc_id) % (2 + doc_id % 13) <> 0), ' ') AS hypothesis FROM p
+    SELECT doc_id, bucket, array_to_string(toks, ' ') AS reference, array_to_string(list_filter(list_transform(toks, lambda t, i:
+        CASE (i + doc_id) % (5 + doc_id % 31) WHEN 0 THEN '' WHEN 1 THEN regexp_replace(t, '[\p{{L}}\p{{N}}_]', '{FRESH}', 'g') ELSE t END), lambda t: t <> ''), ' ') AS hypothesis FROM p
 )"""
 
 
-def _pairs(docs: DataFrame, toks) -> DataFrame:
-    p = docs.select("doc_id", F.col("lang").alias("bucket"), toks.alias("toks"))
-    return p.select("doc_id", "bucket", F.array_join("toks", " ").alias("reference"), F.array_join(F.filter("toks", lambda t, i: (i + 1 + F.col("doc_id")) % (2 + F.col("doc_id") % 13) != 0), " ").alias("hypothesis"))
+def _pairs(docs: DataFrame) -> DataFrame:
+    p = docs.select("doc_id", F.col("lang").alias("bucket"), F.filter(F.split("text", r"\s+"), lambda t: t != "").alias("toks"))
+    place = lambda i: (i + 1 + F.col("doc_id")) % (5 + F.col("doc_id") % 31)
+    heard = F.transform("toks", lambda t, i: F.when(place(i) == 0, "").when(place(i) == 1, F.regexp_replace(t, r"[\p{L}\p{N}_]", FRESH)).otherwise(t))
+    return p.select("doc_id", "bucket", F.array_join("toks", " ").alias("reference"), F.array_join(F.filter(heard, lambda t: t != ""), " ").alias("hypothesis"))
 
 
-def whole_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of all tokens of a document; they have no SQL, because DuckDB's levenshtein is too slow for them."""
-    # a distance costs the square of a text's length, so rows of a small file are worth dealing out
-    return _pairs(table(spark, sf_dir, "documents").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id"), F.filter(F.split("text", r"\s+"), lambda t: t != ""))
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dealt(_pairs(table(spark, sf_dir, "documents")))
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(table(spark, sf_dir, "documents"), F.slice(F.filter(F.split("text", r"\s+"), lambda t: t != ""), 1, 32))
+def _dealt(rows: DataFrame) -> DataFrame:
+    """A distance costs the square of a text's length, so rows of a small file are worth dealing out."""
+    return rows.repartition(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
 
 
 def errors_sql(with_rest: str) -> str:
-    letters = lambda x: f"translate(replace({x}, ' ', ''), 'éóèñçüêäöíàâîïôûùúáëæœÿ', 'ABCDEFGHIJKLMNOPQRSTUVW')"
+    words = lambda r, h: f"len({r}) - len({h}) + len(list_filter({h}, lambda t: contains(t, '{FRESH}')))"
     return f"""
 WITH {PAIRS_SQL}, s AS (
     SELECT doc_id, bucket, {n_("reference")} AS r, {n_("hypothesis")} AS h, {n_("reference", False)} AS rp, {n_("hypothesis", False)} AS hp FROM q
 ), t AS (
     SELECT *, {w_("r")} AS rt, {w_("h")} AS ht, {w_("rp")} AS rpt, {w_("hp")} AS hpt FROM s
-), u AS (
-    SELECT *, list_distinct(list_concat(list_concat(rt, ht), list_concat(rpt, hpt))) AS v FROM t
 ), e AS (
-    SELECT doc_id, bucket, {d_("rt", "ht")} AS wer_errors, len(rt) AS wer_length, {d_("rpt", "hpt")} AS punctuated_wer_errors, len(rpt) AS punctuated_wer_length,
-        levenshtein({letters("r")}, {letters("h")}) AS cer_errors, length(replace(r, ' ', '')) AS cer_length
-    FROM u
+    SELECT doc_id, bucket, {words("rt", "ht")} AS wer_errors, len(rt) AS wer_length, {words("rpt", "hpt")} AS punctuated_wer_errors, len(rpt) AS punctuated_wer_length,
+        length(replace(r, ' ', '')) - length(replace(replace(h, ' ', ''), '{FRESH}', '')) AS cer_errors, length(replace(r, ' ', '')) AS cer_length
+    FROM t
 )
 {with_rest}"""
 
 
-def folded_pairs(spark: SparkSession, sf_dir: str, of=pairs) -> DataFrame:
-    return text.with_folded(of(spark, sf_dir), {"r": "reference", "h": "hypothesis"})
+def folded_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.with_folded(pairs(spark, sf_dir), {"r": "reference", "h": "hypothesis"})
 
 
 def folded(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return text.with_folded(table(spark, sf_dir, name), {"f": "text"})
 
 
-def counted(spark: SparkSession, sf_dir: str, of=pairs) -> DataFrame:
-    return scoring.error_counts(of(spark, sf_dir))
+def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.error_counts(pairs(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- text
@@ -118,18 +116,18 @@ def normalise_punct(spark, sf):
 
 
 @query(errors_sql("SELECT doc_id, CAST(wer_errors AS BIGINT) AS errors, CAST(wer_length AS BIGINT) AS length FROM e"))
-def wer_pairs(spark, sf, of=pairs):
-    return folded_pairs(spark, sf, of).select("doc_id", text.word_errors(F.col("r"), F.col("h"), False, True).alias("e")).select("doc_id", "e.errors", "e.length")
+def wer_pairs(spark, sf):
+    return folded_pairs(spark, sf).select("doc_id", text.word_errors(F.col("r"), F.col("h"), False, True).alias("e")).select("doc_id", "e.errors", "e.length")
 
 
 @query(errors_sql("SELECT doc_id, CAST(punctuated_wer_errors AS BIGINT) AS errors, CAST(punctuated_wer_length AS BIGINT) AS length FROM e"))
-def wer_punct_pairs(spark, sf, of=pairs):
-    return folded_pairs(spark, sf, of).select("doc_id", text.word_errors(F.col("r"), F.col("h"), True, True).alias("e")).select("doc_id", "e.errors", "e.length")
+def wer_punct_pairs(spark, sf):
+    return folded_pairs(spark, sf).select("doc_id", text.word_errors(F.col("r"), F.col("h"), True, True).alias("e")).select("doc_id", "e.errors", "e.length")
 
 
 @query(errors_sql("SELECT doc_id, CAST(cer_errors AS BIGINT) AS errors, CAST(cer_length AS BIGINT) AS length FROM e"))
-def cer_pairs(spark, sf, of=pairs):
-    return folded_pairs(spark, sf, of).select("doc_id", text.char_errors(F.col("r"), F.col("h"), True).alias("e")).select("doc_id", "e.errors", "e.length")
+def cer_pairs(spark, sf):
+    return folded_pairs(spark, sf).select("doc_id", text.char_errors(F.col("r"), F.col("h"), True).alias("e")).select("doc_id", "e.errors", "e.length")
 
 
 _RATES = ", ".join(f"round(CASE WHEN sum({m}_length) > 0 THEN sum({m}_errors) / sum({m}_length) ELSE 0 END, 9) AS {m}" for m in scoring.METRICS)
@@ -140,18 +138,18 @@ def _rounded(df: DataFrame, *names: str, places: int = 9) -> DataFrame:
 
 
 @query(errors_sql(f"SELECT count(*) AS n, {_RATES} FROM e"))
-def report_overall(spark, sf, of=pairs):
-    return _rounded(scoring.pooled(counted(spark, sf, of).withColumn("one", F.lit(1)), "one", rollup=False), *scoring.METRICS).drop("one")
+def report_overall(spark, sf):
+    return _rounded(scoring.pooled(counted(spark, sf).withColumn("one", F.lit(1)), "one", rollup=False), *scoring.METRICS).drop("one")
 
 
 @query(errors_sql(f"SELECT bucket, count(*) AS n, {_RATES} FROM e GROUP BY bucket"))
-def report_by_bucket(spark, sf, of=pairs):
-    return _rounded(scoring.pooled(counted(spark, sf, of), rollup=False), *scoring.METRICS)
+def report_by_bucket(spark, sf):
+    return _rounded(scoring.pooled(counted(spark, sf), rollup=False), *scoring.METRICS)
 
 
 @query(errors_sql(f"SELECT bucket, count(*) AS n, {_RATES} FROM e GROUP BY GROUPING SETS ((bucket), ())"))
-def report_rollup(spark, sf, of=pairs):
-    return _rounded(scoring.report(of(spark, sf), bucket="bucket"), *scoring.METRICS)
+def report_rollup(spark, sf):
+    return _rounded(scoring.report(pairs(spark, sf), bucket="bucket"), *scoring.METRICS)
 
 
 _TURNS_SQL = """
@@ -172,34 +170,21 @@ def turn_pair_lengths(spark, sf):
 
 # ---------------------------------------------------------------- filters
 @query(errors_sql("SELECT doc_id, wer_length > 0 AND wer_errors / wer_length <= 0.20 AS passes FROM e"))
-def wer_filter(spark, sf, of=pairs):
-    return folded_pairs(spark, sf, of).select("doc_id", labels.passes_wer(F.col("r"), F.col("h"), folded=True).alias("passes"))
+def wer_filter(spark, sf):
+    return folded_pairs(spark, sf).select("doc_id", labels.passes_wer(F.col("r"), F.col("h"), folded=True).alias("passes"))
 
 
 @query(errors_sql("SELECT doc_id FROM e WHERE coalesce(wer_errors / nullif(wer_length, 0) <= 0.20, true)"))
-def label_stage_filter(spark, sf, of=pairs):
+def label_stage_filter(spark, sf):
     wer = labels.teacher_wer(F.col("r"), F.col("h"), True)
-    return folded_pairs(spark, sf, of).select("doc_id", wer.alias("wer")).filter(labels.kept_at_labelling(F.col("wer"))).select("doc_id")
+    return folded_pairs(spark, sf).select("doc_id", wer.alias("wer")).filter(labels.kept_at_labelling(F.col("wer"))).select("doc_id")
 
 
 @query(errors_sql("""SELECT count(*) FILTER (WHERE k) AS kept, count(*) FILTER (WHERE NOT k) AS dropped, round(count(*) FILTER (WHERE NOT k) / count(*), 9) AS drop_rate
 FROM (SELECT coalesce(wer_errors / nullif(wer_length, 0) <= 0.20, true) AS k FROM e)"""))
-def label_drop_rate(spark, sf, of=pairs):
+def label_drop_rate(spark, sf):
     kept = labels.kept_at_labelling(labels.teacher_wer(F.col("r"), F.col("h"), True))
-    return _rounded(labels.drop_rate(folded_pairs(spark, sf, of).select(kept.alias("kept"))), "drop_rate")
-
-
-def _whole(f):
-    def run(spark, sf):
-        return f(spark, sf, whole_pairs)
-
-    run.__name__ = f"{f.__name__}_whole"
-    return query()(run)
-
-
-#: The same over whole documents.
-for _f in (wer_pairs, wer_punct_pairs, cer_pairs, report_overall, report_by_bucket, report_rollup, wer_filter, label_stage_filter, label_drop_rate):
-    _whole(_f)
+    return _rounded(labels.drop_rate(folded_pairs(spark, sf).select(kept.alias("kept"))), "drop_rate")
 
 
 _INDEX_SQL = """
@@ -777,18 +762,12 @@ def implied_runtimes(spark, sf):
 
 
 # ---------------------------------------------------------------- streams
-@query(rf"""WITH s AS (SELECT role AS bucket, {n_("text")} AS r FROM conversations), t AS (SELECT bucket, {w_("r")} AS w, replace(r, ' ', '') AS c FROM s)
-SELECT bucket, count(*) AS n, 0.0::DOUBLE AS wer, 0.0::DOUBLE AS punctuated_wer, 0.0::DOUBLE AS cer FROM t GROUP BY bucket""")
+@query(errors_sql(f"SELECT bucket, count(*) AS n, {_RATES} FROM e GROUP BY bucket"))
 def streaming_report(spark, sf):
-    """Turns scored against themselves, as a stream over the table's files into a memory sink."""
-    rows = _stream(spark, sf, "conversations")
-    return _streamed(rows.select(F.col("role").alias("bucket"), F.col("text").alias("reference"), F.col("text").alias("hypothesis")), "streaming_report_out")
+    """Pooled rates of a stream of pairs over the table's files, into a memory sink; the batch form is report_by_bucket."""
+    from ..streaming.reports import streaming_report as run
 
-
-@query()
-def streaming_report_whole(spark, sf):
-    """Whole documents against the same with words left out, as a stream; the batch form is report_by_bucket_whole."""
-    return _streamed(_pairs(_stream(spark, sf, "documents"), F.filter(F.split("text", r"\s+"), lambda t: t != "")), "streaming_report_whole_out")
+    return _rounded(_streamed(run(_dealt(_pairs(_stream(spark, sf, "documents"))), "bucket"), "streaming_report_out", "complete"), *scoring.METRICS)
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -798,11 +777,9 @@ def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.readStream.schema(table(spark, sf, name).schema).option("pathGlobFilter", f"{name}.parquet" if one else "*.parquet").parquet(sf if one else at)
 
 
-def _streamed(pairs: DataFrame, name: str) -> DataFrame:
-    from ..streaming.reports import streaming_report as run
-
-    spark, name = pairs.sparkSession, f"{name}_{uuid.uuid4().hex}"  # a run of its own, also beside another one
-    sink = run(pairs, "bucket").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_folder(spark)}/{name}")
+def _streamed(rows: DataFrame, name: str, mode: str) -> DataFrame:
+    spark, name = rows.sparkSession, f"{name}_{uuid.uuid4().hex}"  # a run of its own, also beside another one
+    sink = rows.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{shared_folder(spark)}/{name}")
     sink.trigger(availableNow=True).start().awaitTermination()
     return spark.table(name)
 
