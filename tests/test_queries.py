@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from vaksetu.plans import queries
+from vaksetu.plans import corpus_queries, queries  # noqa: F401
 
 from .conftest import DATA
 

@@ -75,6 +75,15 @@ def running_total(rows: DataFrame, position: str, value: str, chunk: int = 1 <<
     return out.join(shifts, "__chunk").withColumn("before", F.col("__inside") + F.col("__shift")).drop("__chunk", "__inside", "__shift")
 
 
+def heartbeat(rows: DataFrame, position: str, kept_s: str, clips: str, elapsed_min: str, target_s: float, every: int = 25) -> DataFrame:
+    """(row, clips, kept_h, elapsed_min, rate, eta): progress at every so many positions; hours kept for each minute, and minutes left until ``target_s``."""
+    kept = running_total(rows, position, kept_s).withColumnRenamed("before", "__kept")
+    both = running_total(kept, position, clips).filter(F.col(position) % every == 0)
+    total = F.col("__kept") + F.col(kept_s)
+    at = both.select(F.col(position).alias("row"), (F.col("before") + F.col(clips)).alias("clips"), (total / 3600).alias("kept_h"), F.col(elapsed_min).alias("elapsed_min"), (total / 3600 / F.greatest(F.col(elapsed_min), F.lit(1e-9))).alias("rate"))
+    return at.withColumn("eta", (target_s / 3600 - F.col("kept_h")) / F.greatest(F.col("rate"), F.lit(1e-9)))
+
+
 def until_total(rows: DataFrame, position: str, value: str, target: float) -> DataFrame:
     """Rows as long as the total before them is under ``target``: it is passed by one row at most."""
     return running_total(rows, position, value).filter(F.col("before") < target)

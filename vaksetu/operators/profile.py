@@ -78,3 +78,28 @@ def acquisition_report(clips: DataFrame, duration: str = "duration_s") -> DataFr
     """(clips, hours, mean_s, verdict) of a manifest."""
     got = clips.agg(F.count(duration).alias("clips"), (F.coalesce(F.sum(duration), F.lit(0.0)) / 3600).alias("hours"), F.coalesce(F.avg(duration), F.lit(0.0)).alias("mean_s"))
     return got.withColumn("verdict", F.when(F.col("clips") == 0, "nothing").when(F.col("mean_s") < 4.0, "too_fragmented").when(F.col("mean_s") > 9.5, "mostly_at_ceiling").otherwise("ok"))
+
+
+def whole(rows: DataFrame, dataset: str, duration: str, text: str, how: str, markers: list[str] | None = None) -> DataFrame:
+    """One profile document for each dataset, as ``sources.manifests.PROFILE``; rows without a duration were not decoded and do not count."""
+    rows = rows.filter(F.col(duration).isNotNull()).withColumn("dataset", F.col(dataset))
+    paths = rows.groupBy("dataset", F.col(how).alias("how")).agg(F.count(F.lit(1)).cast("int").alias("k")).filter("how is not null")
+    paths = paths.groupBy("dataset").agg(F.map_from_entries(F.collect_list(F.struct("how", "k"))).alias("decode_paths"))  # a few ways to decode
+    both = durations_profile(rows, duration, ["dataset"]).join(transcripts_profile(rows, text, ["dataset"], markers), "dataset").join(paths, "dataset", "left")
+    return both.select(
+        "dataset",
+        F.col("n").cast("int").alias("n_rows"),
+        F.col("hours").alias("hours_sampled"),
+        F.struct(*[F.col(x).cast("double").alias(x) for x in (*LEVELS, "mean")]).alias("duration_s"),
+        F.col("over_pct").alias("clips_over_10s_pct"),
+        F.struct(
+            F.col("empty").cast("int").alias("empty"),
+            F.col("median_words").cast("double").alias("median_words"),
+            "latin_pct",
+            F.col("danda").cast("int").alias("danda"),
+            F.col("comma").cast("int").alias("comma"),
+            F.col("mean_density").alias("mean_code_mix_density"),
+            F.transform_values("buckets", lambda _, n: n.cast("int")).alias("buckets"),
+        ).alias("transcripts"),
+        "decode_paths",
+    )

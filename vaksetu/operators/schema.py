@@ -49,6 +49,12 @@ def describe(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([(f.name, f.dataType.simpleString()) for f in df.schema.fields], "column string, type string")
 
 
+def describe_row(df: DataFrame) -> DataFrame:
+    """(column, type, role) of a schema; the role is audio, text or other."""
+    roles = {transcript_key(df): "text", audio_key(df): "audio"}
+    return describe(df).withColumn("role", F.coalesce(*[F.when(F.col("column") == k, r) for k, r in roles.items() if k], F.lit("other")))
+
+
 def require_columns(df: DataFrame, names: list[str]) -> None:
     lost = [n for n in names if n not in df.columns]
     if lost:

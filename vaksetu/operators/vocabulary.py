@@ -80,14 +80,25 @@ def _masked_mean(rows: DataFrame, term: Column, mask: Column, temperature: float
     return got.agg((F.sum("t") / F.greatest(F.sum("m"), F.lit(1.0)) * temperature**2).alias("kl"), F.sum("m").cast("long").alias("n"))
 
 
-def restricted_kl(rows: DataFrame, keep_ids: list[int], teacher: str = "teacher", student: str = "student", temperature: float = 2.0, mask: Column | None = None) -> DataFrame:
-    """(kl, n): teacher restricted to the kept ids and renormalised, against the student over the same ids, times T squared."""
+def _restricted_term(keep_ids: list[int], teacher: str, student: str, temperature: float) -> Column:
     keep = F.array(*[F.lit(int(i)) for i in sorted(keep_ids)])
     wrong = (F.size(student) != len(keep_ids)) | (F.size(teacher) <= max(keep_ids))
-    t = log_softmax(select_ids(F.col(teacher), keep), temperature)
-    s = log_softmax(F.col(student), temperature)
-    term = F.when(wrong, F.raise_error(F.lit("kept ids and vocabularies disagree")).cast("double")).otherwise(kl_terms(t, s))
-    return _masked_mean(rows, term, F.lit(True) if mask is None else mask, temperature)
+    term = kl_terms(log_softmax(select_ids(F.col(teacher), keep), temperature), log_softmax(F.col(student), temperature))
+    return F.when(wrong, F.raise_error(F.lit("kept ids and vocabularies disagree")).cast("double")).otherwise(term)
+
+
+def _topk_term(entries: Column, student: str, temperature: float) -> tuple[Column, Column]:
+    """(term, whether any entry is left) of entries (value, id) whose ids are the student's, negative where pruned."""
+    kept = F.filter(entries, lambda e: e["id"] >= 0)
+    t = log_softmax(F.transform(kept, lambda e: e["value"]), temperature)
+    term = let(log_softmax(F.col(student), temperature), lambda s: kl_terms(t, F.transform(kept, lambda e: F.get(s, e["id"].cast("int")))))
+    some = F.size(kept) > 0
+    return F.when(some, term).otherwise(0.0), some
+
+
+def restricted_kl(rows: DataFrame, keep_ids: list[int], teacher: str = "teacher", student: str = "student", temperature: float = 2.0, mask: Column | None = None) -> DataFrame:
+    """(kl, n): teacher restricted to the kept ids and renormalised, against the student over the same ids, times T squared."""
+    return _masked_mean(rows, _restricted_term(keep_ids, teacher, student, temperature), F.lit(True) if mask is None else mask, temperature)
 
 
 def topk_kl(rows: DataFrame, entries: str = "topk", student: str = "student", temperature: float = 2.0, mask: Column | None = None) -> DataFrame:
@@ -95,12 +106,54 @@ def topk_kl(rows: DataFrame, entries: str = "topk", student: str = "student", te
 
     Pruned entries are left out before the rest is renormalised; positions without any entry left do not count; entries that are not stored have no mass.
     """
-    kept = F.filter(entries, lambda e: e["id"] >= 0)
-    t = log_softmax(F.transform(kept, lambda e: e["value"]), temperature)
-    term = let(log_softmax(F.col(student), temperature), lambda s: kl_terms(t, F.transform(kept, lambda e: F.get(s, e["id"].cast("int")))))
-    some = F.size(kept) > 0
-    return _masked_mean(rows, F.when(some, term).otherwise(0.0), some if mask is None else some & mask, temperature)
+    term, some = _topk_term(F.col(entries), student, temperature)
+    return _masked_mean(rows, term, some if mask is None else some & mask, temperature)
 
 
 def distillation_loss(ce: Column, kl: Column | None, ce_weight: float = 1.0, kl_weight: float = 0.8) -> Column:
     return ce_weight * ce if kl is None else ce_weight * ce + kl_weight * kl
+
+
+def distill(
+    rows: DataFrame,
+    use_kl: bool = False,
+    keep_ids: list[int] | None = None,
+    teacher: str | None = None,
+    topk: str | None = None,
+    teacher_size: int | None = None,
+    student: str = "student",
+    label: str = "label",
+    ce_weight: float = 1.0,
+    kl_weight: float = 0.8,
+    temperature: float = 2.0,
+    smoothing: float = 0.0,
+    ignore: int = -100,
+) -> DataFrame:
+    """(loss, ce, kl) over positions whose label is not ignored, in one aggregation; ``kl`` is null unless ``use_kl``.
+
+    The teacher's side is a column of full logits or, else, of top-k entries (value, id) under the teacher's ids, which need ``teacher_size`` to be mapped to the student's.
+    """
+    if use_kl and keep_ids is None:
+        raise ValueError("without kept ids, teacher and student have different vocabularies")
+    if keep_ids is not None and list(keep_ids) != sorted(keep_ids):
+        raise ValueError("kept ids must ascend")
+    if use_kl and teacher is None and topk is None:
+        raise ValueError("the teacher's logits or top-k entries are missing")
+    if use_kl and teacher is None and teacher_size is None:
+        raise ValueError("top-k entries need the size of the teacher's vocabulary")
+    counts = F.col(label) != ignore
+    guard = F.when(F.col(label) >= F.size(student), F.raise_error(F.lit("a label lies beyond the vocabulary; are labels remapped?")).cast("int")).otherwise(F.col(label).cast("int"))
+    columns = [F.when(counts, cross_entropy(F.col(student), guard, smoothing)).alias("ce")]
+    kl = F.lit(None).cast("double")
+    if use_kl:
+        if teacher is not None:
+            term, mask = _restricted_term(keep_ids, teacher, student, temperature), counts
+        else:
+            new = {int(old): i for i, old in enumerate(keep_ids)}
+            table = F.lit([new.get(i, -1) for i in range(teacher_size)])
+            term, some = _topk_term(F.transform(topk, lambda e: F.struct(e["value"].alias("value"), F.get(table, e["id"].cast("int")).alias("id"))), student, temperature)
+            mask = counts & some
+        columns += [F.when(mask, term).otherwise(0.0).alias("t"), F.when(mask, 1.0).otherwise(0.0).alias("m")]
+        kl = F.sum("t") / F.greatest(F.sum("m"), F.lit(1.0)) * temperature**2
+    got = rows.select(*columns).agg(F.avg("ce").alias("ce"), kl.alias("kl"))
+    return got.select(distillation_loss(F.col("ce"), F.col("kl") if use_kl else None, ce_weight, kl_weight).alias("loss"), "ce", "kl")

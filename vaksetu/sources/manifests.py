@@ -30,8 +30,9 @@ def stream_manifest(spark: SparkSession, path: str, schema: str = MANIFEST) -> D
     return spark.readStream.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def read_profiles(spark: SparkSession, *paths: str) -> DataFrame:
-    return spark.read.schema(PROFILE).option("multiLine", True).json(list(paths))
+def read_profiles(spark: SparkSession, *paths: str, lines: bool = False) -> DataFrame:
+    """Files of one document each or, with ``lines``, of one document on each line, as :func:`write_profile` leaves them."""
+    return spark.read.schema(PROFILE).option("multiLine", not lines).json(list(paths))
 
 
 def write_profile(profile: DataFrame, path: str) -> None:
