@@ -109,3 +109,20 @@ def test_short_texts_are_exact(spark):
     want = [10 * len(sets[i] & sets[i + 1]) >= 8 * len(sets[i] | sets[i + 1]) for i in range(0, 602, 2)]
     assert 60 < sum(want) < 280
     assert [label[i] == label[i + 1] for i in range(0, 602, 2)] == want
+
+
+def test_a_crowd_lists_few_pairs_first(spark):
+    """Members that meet at very many variants, each with hubs of its own there, are not all joined with all those hubs at the start."""
+    rng = random.Random(6)
+    ball = [(i, 100 if i < 250 else 50, v) for i in range(300) for v in rng.sample(range(9000), 150)]
+    met = simhash._meetings(spark.createDataFrame(ball, "id long, n long, variant long"))
+    pairs = simhash._pairs(met).cache()
+    most = {tuple(r) for r in simhash._most_met(pairs).collect()}
+    assert pairs.count() > 300 * (simhash.OFTEN + 1) >= len(most) and most <= {(r.a, r.b) for r in pairs.collect()}
+    assert not any((r.a < 250) != (r.b < 250) for r in pairs.collect())  # sets of 50 and 100 cannot be similar
+    met_by = {}
+    for r in pairs.collect():
+        met_by.setdefault(r.a, []).append(r)
+    for a, rows in met_by.items():
+        best = max(r.meets for r in rows)
+        assert any((a, r.b) in most for r in rows if r.meets == best)

@@ -177,6 +177,8 @@ LANES, BLOCK = 8, 12
 SEEDS, AGREE = 32, 18
 #: Sets of at most so many shingles have all of them as seeds and meet at the seed itself, without a block.
 SHORT = 64
+#: A member is compared with so many hubs first, those that it meets at the most variants; with the others only if that leaves them in different classes.
+OFTEN = 32
 _BLOCKS = LANES * (64 // BLOCK)
 
 
@@ -198,7 +200,7 @@ def seeds_of(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.Recor
 
 
 def _rare_seeds(distinct: DataFrame) -> DataFrame:
-    """(id, long, seed, block): the rarest seeds of each set, so many that near copies have some of them in common.
+    """(id, n, long, seed, block): the rarest seeds of each set, so many that near copies have some of them in common.
 
     Two sets that have ``need`` of their ``s`` seeds in common cannot miss each other in all of the first s - need + 1 in an order that holds for all sets; with rare ones
     first, what many texts share (a licence, a footer) brings together only those that have little else. Short sets and long ones are two such searches; between
@@ -216,23 +218,46 @@ def _rare_seeds(distinct: DataFrame) -> DataFrame:
     size = F.when(F.col("long"), F.lit(SEEDS)).otherwise(F.col("n"))
     need = F.when(F.col("long"), F.lit(AGREE)).otherwise(F.ceil(SIMILARITY * F.col("n") - 1e-9))
     shared = rows.join(often, ["long", "seed"]).withColumns({"place": F.row_number().over(own.orderBy("often", "seed")), "shared": F.count(F.lit(1)).over(own)})
-    return shared.filter(size - F.col("shared") + F.col("place") <= size - need + 1).select("id", "long", "seed", "block")
+    return shared.filter(size - F.col("shared") + F.col("place") <= size - need + 1).select("id", "n", "long", "seed", "block")
 
 
 def _ball(seeds: DataFrame) -> DataFrame:
-    """(id, variant) within one flip of a seed's block; a short set has the seed alone. Variants are hashes of both: a collision only costs a comparison."""
+    """(id, n, variant) within one flip of a seed's block; a short set has the seed alone. Variants are hashes of both: a collision only costs a comparison."""
     flips = F.array(*[F.col("block").bitwiseXOR(F.lit(m)) for m in (0, *(1 << i for i in range(BLOCK)))])
-    ball = seeds.select("id", "seed", F.explode(F.when(F.col("long"), flips).otherwise(F.array(F.lit(-1)))).alias("block"))
-    return ball.select("id", F.xxhash64("seed", "block").alias("variant"))
+    ball = seeds.select("id", "n", "seed", F.explode(F.when(F.col("long"), flips).otherwise(F.array(F.lit(-1)))).alias("block"))
+    return ball.select("id", "n", F.xxhash64("seed", "block").alias("variant"))
+
+
+def _close(n, m):
+    """Sets whose sizes differ more cannot be similar."""
+    return F.least(n, m) >= SIMILARITY * F.greatest(n, m) - 1e-9
 
 
 def _meetings(ball: DataFrame) -> DataFrame:
-    """(id, variant, low, high) of those who are not alone at a variant, with its smallest and largest id.
+    """(id, low, high) of those who are not alone at a variant, with its smallest and largest id (null if of a set too small or large).
 
     Counts and ends are combined before the shuffle; a variant that very many rows reach is a skewed key of the join alone, which adaptive execution splits.
     """
-    ends = ball.groupBy("variant").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high")
-    return ball.join(ends.hint("merge"), "variant").select("id", "variant", "low", "high")
+    ends = [F.min("id").alias("low"), F.max("id").alias("high"), F.min_by("n", "id").alias("low_n"), F.max_by("n", "id").alias("high_n")]
+    met = ball.join(ball.groupBy("variant").agg(*ends).filter("low <> high").hint("merge"), "variant")
+    return met.select("id", *[F.when(_close(F.col("n"), F.col(f"{x}_n")), F.col(x)).alias(x) for x in ("low", "high")])
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """(a, b, meets): pairs of a member and a hub, and at how many variants they meet. A member has two hubs for each variant; no join lists them."""
+    ends = [met.select("id", F.col(hub).alias("hub")) for hub in ("low", "high")]
+    pairs = ends[0].union(ends[1]).filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("meets"))
+
+
+def _most_met(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each member and the ``OFTEN`` that it meets at most variants."""
+    own = Window.partitionBy("id").orderBy(F.desc("meets"), "hub")
+    met = pairs.select(F.col("a").alias("id"), F.col("b").alias("hub"), "meets")
+    met = met.withColumn("place", F.row_number().over(own)).filter(F.col("place") <= OFTEN).select("id", "hub")
+    # a hub has very many members, so of its own side only the one that it meets most often counts
+    best = pairs.groupBy("b").agg(F.max(F.struct("meets", "a")).alias("m")).select("b", "m.a")
+    return met.union(best).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
 def _with_hubs(met: DataFrame) -> DataFrame:
@@ -316,8 +341,6 @@ def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     release_shuffles(spark)
     met = materialize(_meetings(_ball(rare)), "meetings")
     release_shuffles(spark)
-    side = lambda x: distinct.select(F.col("id").alias(x), F.col("n").alias(f"{x}_n"), *[F.col(f).alias(f"{x}_{f}") for f in lanes])
-    apart = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in lanes), F.lit(0))
     keys = distinct.select("id", "key")
 
     def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -325,15 +348,12 @@ def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
         release_shuffles(spark)
         return out
 
-    # sets whose sizes differ too much cannot be similar
-    pairs = _with_hubs(met).join(side("a"), "a").join(side("b"), "b").filter(F.least("a_n", "b_n") >= SIMILARITY * F.greatest("a_n", "b_n") - 1e-9)
-    pairs = materialize(pairs.select("a", "b", apart.alias("apart")), "pairs")
+    pairs = materialize(_pairs(met), "pairs")
     release_shuffles(spark)
-    # what links join already needs no look at the shingles, so each one's nearest pair comes first, then the rest
-    nearest = pairs.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("m")).select("a", "m.b")
-    nearest = materialize(nearest.union(pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("m")).select("m.a", "b")).distinct(), "nearest")
+    # what links join already needs no look at the shingles, so each one comes first with those whom it meets most often, then the rest
+    nearest = materialize(_most_met(pairs), "nearest")
     labels = joined(None, _similar(nearest, rows, keys, words))
-    rest = _labelled(pairs.join(nearest, ["a", "b"], "left_anti"), labels, "a", "b").filter("a_label <> b_label")
+    rest = _labelled(pairs.select("a", "b").join(nearest, ["a", "b"], "left_anti"), labels, "a", "b").filter("a_label <> b_label")
     labels = joined(labels, _similar(materialize(rest.select("a", "b"), "rest"), rows, keys, words))
     left = materialize(_left_in_crowds(rare, labels), "crowds")
     release_shuffles(spark)
