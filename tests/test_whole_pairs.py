@@ -108,3 +108,19 @@ def test_both_ways_agree(spark, monkeypatch):
     near = count()
     monkeypatch.setattr(text, "MOST_CELLS", 0)
     assert count() == near
+
+
+def test_a_hypothesis_that_fits_takes_one_pass(monkeypatch):
+    """Left-out and foreign items need no table; whatever does not fit still takes one, with the same counts."""
+    rng = random.Random(5)
+    pairs = [("", ""), ("ab", ""), ("", "ab"), ("a]^-b", "a^-"), ("aab", "aba")]
+    for _ in range(400):
+        a = "".join(rng.choice("abc") for _ in range(rng.randint(0, 40)))
+        pairs.append((a, "".join(x if rng.random() < 0.8 else rng.choice(["", "z", "a"]) for x in a)))
+    for a, b in pairs:
+        assert text.distance_of(a, b) == text.distance_of(list(a), list(b)) == distance(a, b)
+    monkeypatch.setattr(text, "distance_in_bits", None)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(200_000))
+    left = "".join("z" if k % 11 == 0 else x for k, x in enumerate(long) if k % 13)
+    want = len(long) - len(left) + left.count("z")
+    assert text.distance_of(long, left) == text.distance_of(list(long), list(left)) == want

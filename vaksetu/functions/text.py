@@ -7,6 +7,7 @@ handed to an Arrow function (others reach it as nulls).
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import numpy as np
@@ -77,8 +78,69 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-#: Tables of distances with more cells than this are computed by :func:`distance_in_bits`.
-MOST_CELLS = 1 << 20
+#: Tables of distances with more cells than this are computed by :func:`distance_of`; smaller ones, those of utterances, by the JVM.
+MOST_CELLS = 1 << 12
+
+
+def embedded(a, b) -> int | None:
+    """The distance of ``a`` to ``b`` if ``b`` is ``a`` with items left out and others replaced by items that ``a`` lacks; else null. Takes one pass.
+
+    No alignment matches more than those of ``b`` that ``a`` has, so at least len(a) less their number of edits are needed. So many suffice if ``b`` fits into ``a``, an item that
+    ``a`` lacks in the place of any one; putting each as early as possible finds a fit if there is one.
+    """
+    if len(b) > len(a):
+        return None
+    known, at, foreign, find = set(a), 0, 0, a.index
+    try:
+        for x in b:
+            if x in known:
+                at = find(x, at) + 1
+            else:
+                at += 1
+                foreign += 1
+    except ValueError:
+        return None
+    return None if at > len(a) else len(a) - len(b) + foreign
+
+
+def embedded_text(a: str, b: str) -> int | None:
+    """:func:`embedded` of strings, by stretches that are equal."""
+    if len(b) > len(a):
+        return None
+    foreign = "".join(set(b) - set(a))
+    stretches = re.finditer(f"([{re.escape(foreign)}]+)|[^{re.escape(foreign)}]+", b) if foreign else [re.match("(?s)().*", b)]
+    at = total = 0
+    for m in stretches:
+        if m.group(1):
+            at += m.end() - m.start()
+            total += m.end() - m.start()
+            continue
+        i, end = m.span()
+        while i < end:
+            n, same = min(32, end - i), 0
+            while n:  # how much is equal from here: twice as much each time, then halves
+                if a.startswith(b[i + same : i + same + n], at + same):
+                    same += n
+                    n = min(2 * n, end - i - same)
+                else:
+                    n //= 2
+                    while n:
+                        if a.startswith(b[i + same : i + same + n], at + same):
+                            same += n
+                        n //= 2
+            i, at = i + same, at + same
+            if i < end:
+                at = a.find(b[i], at)
+                if at < 0:
+                    return None
+    return None if at > len(a) else len(a) - len(b) + total
+
+
+def distance_of(a, b) -> int:
+    """Unit-cost edit distance of two lists or strings, exact: by :func:`embedded` if one fits into the other, as most hypotheses do, else by bits."""
+    fit = embedded_text if isinstance(a, str) else embedded
+    d = fit(a, b) if len(a) >= len(b) else fit(b, a)
+    return distance_in_bits(a, b) if d is None else d
 
 
 def distance_in_bits(a, b) -> int:
@@ -115,16 +177,27 @@ def distance_in_bits(a, b) -> int:
 
 
 def _distances(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else distance_in_bits(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
+    return pd.Series([None if x is None or y is None else distance_of(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
+
+
+def _distances_of_words(a: pd.Series, b: pd.Series) -> pd.Series:
+    split = lambda t: [w for w in t.split(" ") if w]
+    return pd.Series([None if x is None or y is None else distance_of(split(x), split(y)) for x, y in zip(a, b, strict=True)], dtype="Int64")
 
 
 _far = F.pandas_udf(_distances, LongType())
+_far_words = F.pandas_udf(_distances_of_words, LongType())
 
 
-def _distance(a: Column, b: Column, size, near) -> Column:
+def _distance(a: Column, b: Column, size, near, far) -> Column:
     """``near`` of both in the JVM if their table is small, as it is for utterances; the others leave for Python, where these are nulls."""
-    far = size(a).cast("long") * size(b) > MOST_CELLS
-    return F.coalesce(let(F.struct(a.alias("a"), b.alias("b")), lambda p: F.when(size(p.a).cast("long") * size(p.b) <= MOST_CELLS, near(p.a, p.b))), _far(F.when(far, a), F.when(far, b)))
+    large = size(a).cast("long") * size(b) > MOST_CELLS
+    return F.coalesce(F.when(~large, near(a, b)), far(F.when(large, a), F.when(large, b)))
+
+
+def _words(normalised: Column) -> Column:
+    """How many tokens; there are single spaces between them."""
+    return F.when(normalised == "", 0).otherwise(1 + F.char_length(normalised) - F.char_length(F.replace(normalised, F.lit(" "), F.lit(""))))
 
 
 def edit_distance(a: Column, b: Column) -> Column:
@@ -152,16 +225,17 @@ def _edit_distance_rows(a: Column, b: Column) -> Column:
     return F.element_at(F.aggregate(b, first, row), -1)
 
 
-def word_errors(reference: Column, hypothesis: Column, punctuated: bool = False, folded: bool = False) -> Column:
-    """struct(errors, length) over words."""
-    ref, hyp = (tokens(normalise(x, not punctuated, folded)) for x in (reference, hypothesis))
-    return F.struct(_distance(ref, hyp, F.size, edit_distance).alias("errors"), F.size(ref).cast("long").alias("length"))
+def word_errors(reference: Column, hypothesis: Column, punctuated: bool = False, folded: bool = False, normalised: bool = False) -> Column:
+    """struct(errors, length) over words. ``normalised``: both are columns made by :func:`normalise`."""
+    ref, hyp = (reference, hypothesis) if normalised else (normalise(x, not punctuated, folded) for x in (reference, hypothesis))
+    near = lambda a, b: let(F.struct(a.alias("a"), b.alias("b")), lambda p: edit_distance(tokens(p.a), tokens(p.b)))
+    return F.struct(_distance(ref, hyp, _words, near, _far_words).alias("errors"), _words(ref).cast("long").alias("length"))
 
 
-def char_errors(reference: Column, hypothesis: Column, folded: bool = False) -> Column:
-    """struct(errors, length) over characters without spaces."""
-    ref, hyp = (F.replace(normalise(x, True, folded), F.lit(" "), F.lit("")) for x in (reference, hypothesis))
-    return F.struct(_distance(ref, hyp, F.char_length, lambda a, b: F.levenshtein(a, b).cast("long")).alias("errors"), F.char_length(ref).cast("long").alias("length"))
+def char_errors(reference: Column, hypothesis: Column, folded: bool = False, normalised: bool = False) -> Column:
+    """struct(errors, length) over characters without spaces. ``normalised``: both are columns made by :func:`normalise`, without spaces."""
+    ref, hyp = (reference, hypothesis) if normalised else (F.replace(normalise(x, True, folded), F.lit(" "), F.lit("")) for x in (reference, hypothesis))
+    return F.struct(_distance(ref, hyp, F.char_length, lambda a, b: F.levenshtein(a, b).cast("long"), _far).alias("errors"), F.char_length(ref).cast("long").alias("length"))
 
 
 def code_mix_density(text: Column, markers: list[str] | None = None, folded: Column | None = None) -> Column:

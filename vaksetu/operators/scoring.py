@@ -25,10 +25,13 @@ def pair(references: DataFrame, hypotheses: DataFrame, key: str) -> DataFrame:
 
 def error_counts(pairs: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
     """``pairs`` with (wer, punctuated_wer, cer), each struct(errors, length)."""
-    r, h = F.col("__r"), F.col("__h")
+    # each text is normalised once, in a column of its own, before the counts that share it
+    own = [f"__{side}{view}" for side in "rh" for view in ("", "w", "p", "c")]
     both = with_folded(pairs, {"__r": reference, "__h": hypothesis})
-    counts = {"wer": word_errors(r, h, False, True), "punctuated_wer": word_errors(r, h, True, True), "cer": char_errors(r, h, True)}
-    return both.withColumns(counts).drop("__r", "__h")
+    both = both.withColumns({f"__{x}{view}": normalise(F.col(f"__{x}"), view == "w", True) for x in "rh" for view in "wp"})
+    both = both.withColumns({f"__{x}c": F.replace(F.col(f"__{x}w"), F.lit(" "), F.lit("")) for x in "rh"})
+    views = {"wer": ("w", word_errors), "punctuated_wer": ("p", word_errors), "cer": ("c", char_errors)}
+    return both.withColumns({m: count(F.col(f"__r{v}"), F.col(f"__h{v}"), normalised=True) for m, (v, count) in views.items()}).drop(*own)
 
 
 def pooled(counts: DataFrame, bucket: str = "bucket", rollup: bool = True) -> DataFrame:
