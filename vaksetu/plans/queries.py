@@ -73,8 +73,8 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
-    """A distance costs the square of a text's length, so rows of a small file are worth dealing out."""
-    return rows.repartition(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    """Rows of a small file are worth dealing out; each task starts Python, so there are a few for each core, not for each shuffle partition."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "doc_id")
 
 
 def errors_sql(with_rest: str) -> str:
