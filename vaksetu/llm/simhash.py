@@ -95,17 +95,24 @@ def sets_of(batch: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), edges
     begin = np.repeat(first[:-1] - edges[:-1], count) + np.arange(edges[-1])
     hashes = run_hashes(word_hashes(raw, start, end), begin, np.minimum(begin + words, np.repeat(first[1:], count)))
-    row = np.repeat(np.arange(len(count)), count)
+    return _different(hashes, edges)
+
+
+def _different(hashes: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different hashes of each row, ascending, and the first of each row and the total."""
+    if not len(hashes):
+        return hashes, edges
+    row = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
     order = np.lexsort((hashes, row))
     hashes, row = hashes[order], row[order]
     new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])])
-    return hashes[new], np.searchsorted(row[new], np.arange(len(count) + 1))
+    return hashes[new], np.searchsorted(row[new], np.arange(len(edges)))
 
 
 def shingle_sets_of(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """Batches (key, text) to (key, grams): the hashes of a text's different shingles."""
+    """Batches (key, text) to (key, grams): the XXH64 of a text's different shingles."""
     for batch in sliced(batches, "text", CHUNK_BYTES // 2):
-        hashes, edges = sets_of(batch, words)
+        hashes, edges = _different(*shingles_of(batch, words))
         grams = pa.LargeListArray.from_arrays(edges, hashes.view(np.int64)).cast(pa.list_(pa.int64()))
         yield pa.record_batch([batch.column(0), grams], names=["key", "grams"])
 
