@@ -2,6 +2,7 @@
 
 import random
 
+import xxhash
 from pyspark.sql import functions as F
 
 from vaksetu.llm import simhash
@@ -126,3 +127,50 @@ def test_a_crowd_lists_few_pairs_first(spark):
     for a, rows in met_by.items():
         best = max(r.meets for r in rows)
         assert any((a, r.b) in most for r in rows if r.meets == best)
+
+
+def family(rng, members, least, most):
+    """Texts of 150 words with words of a common original left out, so that many members have some changes in common."""
+    words = [f"w{rng.randrange(20_000)}" for _ in range(150)]
+    texts = []
+    for _ in range(members):
+        gone = set(rng.sample(range(150), rng.randint(least, most)))
+        texts.append(" ".join(w for k, w in enumerate(words) if k not in gone))
+    return texts
+
+
+def test_a_family_of_unlike_copies_compares_few_pairs(spark, monkeypatch):
+    """What is compared grows with the members of a family, not with their pairs, and the classes are those of all pairs."""
+    similar, compared = simhash._similar, []
+
+    def counted(pairs, *more):
+        compared.append(pairs.count())
+        return similar(pairs, *more)
+
+    monkeypatch.setattr(simhash, "_similar", counted)
+    texts = list(dict.fromkeys(family(random.Random(3), 400, 3, 12)))
+    label = labels_of(spark, list(enumerate(texts)))
+    sets, parent = [grams(t) for t in texts], list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    alike = [(a, b) for a in range(len(sets)) for b in range(a) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    for a, b in alike:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    by = lambda of: sorted(sorted(i for i in range(len(texts)) if of(i) == c) for c in {of(i) for i in range(len(texts))})
+    assert by(lambda i: label[i]) == by(root) and 20 < len({root(i) for i in range(len(texts))}) < 380
+    assert sum(compared) < 15 * len(texts)
+
+
+def test_parities_leave_pairs_that_may_be_similar(spark):
+    """Members of a family with changes in common share rare shingles; hardly any but the similar pairs are listed, and of those each one."""
+    hashes = lambda t: sorted(xxhash.xxh64_intdigest(" ".join(g), 42) - 2**63 for g in grams(t))
+    sets = [hashes(t) for t in family(random.Random(4), 200, 1, 10)]
+    rows = spark.createDataFrame([(i, i, s) for i, s in enumerate(sets)], "id long, id_label long, grams array<long>")
+    got = {tuple(r) for r in simhash._by_rare_shingles(rows).collect()}
+    own = [set(s) for s in sets]
+    want = {(a, b) for a in range(len(own)) for b in range(a + 1, len(own)) if 10 * len(own[a] & own[b]) >= 8 * len(own[a] | own[b])}
+    assert len(want) > 100 and want <= got and len(got) < 1.5 * len(want)

@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, SPACE, column_bytes, free_name, id_and_text, lean, materialize, mix, release_shuffles, run_hashes, sliced, word_hashes, word_spans
@@ -184,8 +184,12 @@ LANES, BLOCK = 8, 12
 SEEDS, AGREE = 32, 18
 #: Sets of at most so many shingles have all of them as seeds and meet at the seed itself, without a block.
 SHORT = 64
-#: A member is compared with so many hubs first, those that it meets at the most variants; with the others only if that leaves them in different classes.
-OFTEN = 32
+#: A seed of more sets than that is a crowd: not all pairs of its members are compared.
+FEW = 3
+#: A member of crowds is compared with so many hubs, those that it meets at the most variants; that only saves the exact search in crowds what it joins.
+OFTEN = 8
+#: Words of 64 bits in the parities of a set.
+PARITIES = 8
 _BLOCKS = LANES * (64 // BLOCK)
 
 
@@ -207,7 +211,7 @@ def seeds_of(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.Recor
 
 
 def _rare_seeds(distinct: DataFrame) -> DataFrame:
-    """(id, n, long, seed, block): the rarest seeds of each set, so many that near copies have some of them in common.
+    """(id, n, long, seed, block, crowd): the rarest seeds of each set, so many that near copies have some of them in common; whether more than ``FEW`` have a seed as a rare one.
 
     Two sets that have ``need`` of their ``s`` seeds in common cannot miss each other in all of the first s - need + 1 in an order that holds for all sets; with rare ones
     first, what many texts share (a licence, a footer) brings together only those that have little else. Short sets and long ones are two such searches; between
@@ -225,7 +229,10 @@ def _rare_seeds(distinct: DataFrame) -> DataFrame:
     size = F.when(F.col("long"), F.lit(SEEDS)).otherwise(F.col("n"))
     need = F.when(F.col("long"), F.lit(AGREE)).otherwise(F.ceil(SIMILARITY * F.col("n") - 1e-9))
     shared = rows.join(often, ["long", "seed"]).withColumns({"place": F.row_number().over(own.orderBy("often", "seed")), "shared": F.count(F.lit(1)).over(own)})
-    return shared.filter(size - F.col("shared") + F.col("place") <= size - need + 1).select("id", "n", "long", "seed", "block")
+    rare = materialize(shared.filter(size - F.col("shared") + F.col("place") <= size - need + 1).select("id", "n", "long", "seed", "block"), "rare")
+    release_shuffles(rare.sparkSession)
+    crowds = rare.groupBy("long", "seed").agg(F.count(F.lit(1)).alias("sets")).filter(F.col("sets") > FEW).select("long", "seed", F.lit(True).alias("crowd"))
+    return rare.join(crowds, ["long", "seed"], "left").select(*rare.columns, F.coalesce("crowd", F.lit(False)).alias("crowd"))
 
 
 def _ball(seeds: DataFrame) -> DataFrame:
@@ -284,30 +291,41 @@ def _left_in_crowds(seeds: DataFrame, labels: DataFrame) -> DataFrame:
     """(id, id_label) of those who share a seed with another class, where more than three have it; ``seeds`` holds one row for each set and rare seed."""
     rows = _labelled(seeds.select("id", "long", "seed"), labels, "id")
     crowds = rows.groupBy("long", "seed").agg(F.count(F.lit(1)).alias("n"), F.min("id_label").alias("low"), F.max("id_label").alias("high"))
-    crowds = crowds.filter("n > 3 and low <> high").select("long", "seed")
+    crowds = crowds.filter((F.col("n") > FEW) & (F.col("low") != F.col("high"))).select("long", "seed")
     return rows.join(crowds, ["long", "seed"], "left_semi").select("id", "id_label").distinct()
 
 
+def _parities(gram: Column, over: WindowSpec) -> dict[str, Column]:
+    """For each of 64 * ``PARITIES`` bits whether an odd number of the shingles in a window have it as theirs. Two sets differ in as many shingles as in bits, or more."""
+    lane, one = F.shiftright(gram, 6).bitwiseAND(F.lit(PARITIES - 1)), _one(gram.bitwiseAND(F.lit(63)).cast("int"))
+    return {f"p{k}": F.bit_xor(F.when(lane == k, one).otherwise(F.lit(0).cast("long"))).over(over) for k in range(PARITIES)}
+
+
 def _by_rare_shingles(sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different classes among (id, id_label, grams), with all that are similar, by exact prefix filters.
+    """Pairs (a, b) of different classes among (id, id_label, grams), with all that are similar, by exact prefix and parity filters.
 
     With rare shingles first, a set of n that is similar to no smaller one meets it among its first n - SIMILARITY * n + 1 shingles, and the smaller one holds that shingle among its first
     n - 2 * SIMILARITY / (1 + SIMILARITY) * n + 1. The first shingle that two sets share also bounds how many they can share by what follows it. So a family of texts that share
-    less than that (a template with a body of its own) lists no pairs, however large it is.
+    less than that (a template with a body of its own) lists no pairs, however large it is. In a family that shares most of its shingles, changes that a few members have in common pass that
+    filter in pairs without number; what only one set has and the parities of the rest bound the shingles that two sets differ in from below, so of those the join makes the pairs that may be similar, and few
+    more (two sets that may differ in some 250 shingles or more, so of 1,100 and more each, are hardly bound by 512 bits and left to the prefixes).
     """
     t = SIMILARITY
     grams = sets.select("id", "id_label", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
     often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
     own = Window.partitionBy("id")
-    shared = grams.join(often, "gram").withColumns({"place": F.row_number().over(own.orderBy("often", "gram")), "shared": F.count(F.lit(1)).over(own)})
-    shared = shared.withColumn("place", F.col("n") - F.col("shared") + F.col("place"))
-    shared = materialize(shared.filter(F.col("place") <= F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 1).select("id", "id_label", "n", "gram", "place"), "rare")
+    shared = grams.join(often, "gram").withColumns({"place": F.row_number().over(own.orderBy("often", "gram")), "alone": F.col("n") - F.count(F.lit(1)).over(own), **(parities := _parities(F.col("gram"), own))})
+    shared = shared.withColumn("place", F.col("alone") + F.col("place"))
+    known = ["id", "id_label", "n", "place", "alone", *parities]
+    shared = materialize(shared.filter(F.col("place") <= F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 1).select("gram", *known), "rare")
     small = shared.filter(F.col("place") <= F.col("n") - F.ceil(2 * t / (1 + t) * F.col("n") - 1e-9) + 1)
-    x, y = (rows.select("gram", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "id_label", "n", "place")]) for side, rows in (("x", small), ("y", shared)))
+    x, y = (rows.select("gram", *[F.col(c).alias(f"{side}_{c}") for c in known]) for side, rows in (("x", small), ("y", shared)))
     order = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_id") < F.col("y_id")))
     left = 1 + F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
     possible = (F.col("x_n") >= t * F.col("y_n") - 1e-9) & (left >= t / (1 + t) * (F.col("x_n") + F.col("y_n")) - 1e-9)
-    pairs = x.join(y.withColumnRenamed("gram", "y_gram"), (F.col("gram") == F.col("y_gram")) & order & possible & (F.col("x_id_label") != F.col("y_id_label")))
+    differ = sum((F.bit_count(F.col(f"x_{p}").bitwiseXOR(F.col(f"y_{p}"))) for p in parities), F.col("x_alone") + F.col("y_alone"))
+    possible &= differ <= (1 - t) / (1 + t) * (F.col("x_n") + F.col("y_n")) + 1e-9
+    pairs = x.join(y.withColumnRenamed("gram", "y_gram"), (F.col("gram") == F.col("y_gram")) & order & (F.col("x_id_label") != F.col("y_id_label")) & possible)
     return pairs.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
 
 
@@ -333,9 +351,9 @@ def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     ``key`` is the hash of (doc_id, text). Near copies of that kind differ in 77 of 512 bits on average (shingles' cosine is 0.89, so a bit differs with probability acos(0.89) / pi = 0.15),
     so the ball hashing runs on blocks of 12 bits and each block is keyed by a seed, one of the set's smallest shingle hashes: only texts that share a
     rare shingle can meet, however many strangers there are. Every fingerprint emits, for each of its rare seeds, the variants of that seed's block within one flip, so pairs whose
-    blocks differ in two bits or fewer meet (0.74 for each of the about nine seeds that near copies share). Whoever meets is compared with two hubs of the variant (its smallest and
-    largest fingerprint); what more than three at a seed have left in different classes meets once more, at the rare ones of all its shingles, which misses no pair. A link counts
-    only if the shingle sets themselves are similar. ``component`` is the smallest linked fingerprint's number. Texts without words (null and empty ones) are one class.
+    blocks differ in two bits or fewer meet (0.74 for each of the about nine seeds that near copies share). Whoever meets at a seed of up to three sets is compared with the two hubs of the
+    variant (its smallest and largest fingerprint), so all are. Members of crowds are compared with the hubs that they meet most often; what that leaves in different classes meets once
+    more, at the rare ones of all its shingles, which misses no pair, wherever it met. A link counts only if the shingle sets themselves are similar. ``component`` is the smallest linked fingerprint's number. Texts without words (null and empty ones) are one class.
     """
     spark = docs.sparkSession
     lanes = [f"f{k}" for k in range(LANES)]
@@ -344,25 +362,26 @@ def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     prints = materialize(rows.mapInArrow(lean(lambda it: seeds_of(it, words)), schema).withColumn("id", F.xxhash64(*lanes, "seeds")), "fingerprints")
     distinct = materialize(prints.groupBy("id").agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in (*lanes, "n", "seeds", "blocks")]), "distinct")
     release_shuffles(spark)
-    rare = materialize(_rare_seeds(distinct), "rare")
-    release_shuffles(spark)
-    met = materialize(_meetings(_ball(rare)), "meetings")
+    rare = materialize(_rare_seeds(distinct), "crowding")
     release_shuffles(spark)
     keys = distinct.select("id", "key")
 
+    def met(seeds: DataFrame) -> DataFrame:
+        out = materialize(_meetings(_ball(seeds)), "meetings")
+        release_shuffles(spark)
+        return _pairs(out)
+
     def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
         out = connected_components(links if labels is None else links.union(labels.select("node", "label")))
         release_shuffles(spark)
         return out
 
-    pairs = materialize(_pairs(met), "pairs")
+    # of a seed that few have, all pairs that meet are compared; of a crowd's, what a member's most frequent hubs leave in different classes is searched exactly
+    nearest = _most_met(materialize(met(rare.filter("crowd")), "pairs"))
+    first = materialize(met(rare.filter("not crowd")).select("a", "b").union(nearest).distinct(), "nearest")
     release_shuffles(spark)
-    # what links join already needs no look at the shingles, so each one comes first with those whom it meets most often, then the rest
-    nearest = materialize(_most_met(pairs), "nearest")
-    labels = joined(None, _similar(nearest, rows, keys, words))
-    rest = _labelled(pairs.select("a", "b").join(nearest, ["a", "b"], "left_anti"), labels, "a", "b").filter("a_label <> b_label")
-    labels = joined(labels, _similar(materialize(rest.select("a", "b"), "rest"), rows, keys, words))
-    left = materialize(_left_in_crowds(rare, labels), "crowds")
+    labels = joined(None, _similar(first, rows, keys, words))
+    left = materialize(_left_in_crowds(rare.filter("crowd"), labels), "crowds")
     release_shuffles(spark)
     crowded = materialize(_by_rare_shingles(_sets(left.select("id"), rows, keys, words).join(left, "id")), "crowded")
     release_shuffles(spark)
